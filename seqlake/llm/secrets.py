@@ -9,6 +9,9 @@ per document over its candidates.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,9 @@ WEAK = {
     "endpoint": (r"([a-z]{2,12}://[A-Za-z0-9._:@/-]{4,})", 1, 4),
 }
 KINDS = (*STRONG, *WEAK)
+#: Plain substrings of which a text must hold one for a kind to matter: most texts are spared the pattern.
+#: Weak kinds need a complementary part, so a weak token needs an access identifier or an endpoint.
+NEEDED = {"assign": ("=", ":"), "access": ("AKIA",), "hex": (), "weak": ("AKIA", "://"), "endpoint": ("://",)}
 
 ORACLE_SQL = None
 
@@ -47,8 +53,11 @@ def _parts(text: Column, kind: str, pattern: str, group: int) -> Column:
         zipped,
         lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["len"].alias("len"), x["checked"].alias("checked")),
     )
-    # One cheap test spares the text without a match the other passes.
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,len:int,checked:int>>"))
+    # Cheap tests spare a text without a match the other passes.
+    test = text.rlike(pattern)
+    if NEEDED[kind]:
+        test = reduce(or_, [text.contains(part) for part in NEEDED[kind]]) & test
+    return F.when(test, found).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,len:int,checked:int>>"))
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
