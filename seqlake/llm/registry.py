@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op4_quality_rules": "quality_rules",
     "op5_sharding": "sharding",
+    "op6_decontamination": "decontaminate",
     "op9_secret_scan": "secrets",
     "op10_mixing": "mixing",
 }
