@@ -151,7 +151,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 @F.udf(T.StringType())
-def _without(text: str, spans: list) -> str:
+def _without(text: str | None, spans: list | None) -> str | None:
+    if not spans:
+        return text
     lower = LOWER[np.frombuffer(text.encode(), np.uint8)]
     words = find_words(lower, np.array([0, len(lower)]), ALNUM)
     kept, at = [], 0
@@ -163,12 +165,9 @@ def _without(text: str, spans: list) -> str:
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All documents, with the words of the hits (from the first word's beginning to the last one's end) cut out.
-
-    Only documents with a hit pass the row-wise helper.
-    """
+    """All documents, with the words of the hits (from the first word's beginning to the last one's end) cut out."""
     found = find_contamination(docs, benchmark, tuple(docs.columns))
-    text = F.when(F.size("found.spans") > 0, _without(F.col("row.text"), F.col("found.spans"))).otherwise(F.col("row.text"))
+    text = _without(F.col("row.text"), F.col("found.spans"))
     return found.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
