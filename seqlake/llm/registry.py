@@ -12,6 +12,7 @@ MODULES = {
     "op4_quality_rules": "quality_rules",
     "op5_sharding": "sharding",
     "op6_decontamination": "decontaminate",
+    "op7_toxicity": "toxicity",
     "op8_url_filter": "urlfilter",
     "op9_secret_scan": "secrets",
     "op10_mixing": "mixing",
