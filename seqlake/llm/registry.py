@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name to module; each module has query() and ORACLE_SQL (None where SQL cannot express it).
 MODULES = {
+    "op1_suffix_dedup": "substrings",
     "op2_ngram_join": "neardup",
     "op3_quality_model": "quality_model",
     "op4_quality_rules": "quality_rules",
