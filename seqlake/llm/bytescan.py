@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one block holds, unless a single document is longer.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: ASCII lower case; other bytes stay.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -77,7 +77,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Wo
     return Words(start, end, np.searchsorted(offsets, start, "right") - 1)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(size: int, factor: int) -> np.ndarray:
     out = np.full(size, factor, dtype=np.uint64)
     out[0] = 1
@@ -86,7 +86,7 @@ def _powers(size: int, factor: int) -> np.ndarray:
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """The powers 0 to n - 1 of the base of the rolling hash, modulo 2 ** 64."""
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(21, int(n - 1).bit_length())
     return _powers(size, _INVERSE if inverse else _BASE)[:n]
 
 

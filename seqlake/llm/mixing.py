@@ -81,7 +81,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, seed: s
     """Every row of docs with size, source_size, target, copies_taken and taken, in place of such columns.
 
     weight names a column of relative inclusion weights (null: 1); without it all documents of a source are
-    equally likely. Defined results: a null text has size 0; a null source is a source of its own, last in
+    equally likely. With weights a document's copies still stop at MAX_COPIES, and what that leaves of a target
+    is not made up by others. Defined results: a null text has size 0; a null source is a source of its own, last in
     order; a source without words has target 0 and nothing of it is taken; rows that share a doc_id and text
     are drawn together; an empty table gives an empty result. Equal inputs give equal draws.
     """

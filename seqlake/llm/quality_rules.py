@@ -126,7 +126,9 @@ def clean_documents(docs: DataFrame, min_texts: int = MIN_TEXTS, max_share: floa
     text = text_or_empty("text")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     base = with_base_counts(docs.select(row, "doc_id", F.xxhash64(text).alias("text_hash")), text_or_empty(F.col("row.text")))
-    base = base.where(~base_failed()).select("row", "doc_id", "text_hash", "n_words")
+    # The row number keeps the test above the counts: pushed below, it would repeat all that they are made from.
+    base = base.withColumn("at", F.monotonically_increasing_id()).where(~base_failed() & (F.col("at") >= 0))
+    base = base.select("row", "doc_id", "text_hash", "n_words")
     joined = base.join(_removed(docs, min_texts, max_share), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left")
     kept = joined.where(F.col("n_words") - F.coalesce("n_removed_words", F.lit(0)) >= min_left * F.col("n_words"))
     lines = F.filter(F.split(F.col("row.text"), "\n"), lambda line: ~F.array_contains(F.col("r_lines"), F.xxhash64(normalised(line))))

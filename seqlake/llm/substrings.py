@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqlake.llm.bytescan import blocks, hash_ranges, mixed, prefix_sums
-from seqlake.llm.common import checkpointed, table
+from seqlake.llm.common import table
 from seqlake.llm.suffixes import repeated_across, repeated_within, suffix_array
 
 SIZE = 400
@@ -30,7 +30,7 @@ SHARD_BYTES = 1 << 20
 #: Different regions of an anchor that go to suffix arrays; an anchor with more is judged by hashed windows.
 MAX_REGIONS = 4096
 #: Bits of a position within a block of documents.
-PLACE_BITS = 28
+PLACE_BITS = 32
 
 ORACLE_SQL = None
 
@@ -237,14 +237,15 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ("
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
     long_ = texts.where(F.octet_length("text") >= size)
-    schema = "doc_id long, text_hash long, first long, n long, anchor long, region long"
+    # Columns that are never null get no filters of their own in some of the uses, so the shuffles stay alike.
+    schema = T.StructType([T.StructField(c, T.LongType(), c == "doc_id") for c in ("doc_id", "text_hash", "first", "n", "anchor", "region")])
     runs = long_.mapInArrow(_find_runs(size), schema)
     often = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("often"))
-    shared = checkpointed(runs.join(often, F.col("anchor") == F.col("often"), "left_semi"))
+    # Used again below with the same columns, so that Spark shuffles the runs, and the texts, once.
+    shared = runs.join(often, F.col("anchor") == F.col("often"), "left_semi")
     regions = shared.groupBy("anchor", "region").agg(
         F.count("*").alias("c"), F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("at")
     )
-    regions = checkpointed(regions)
     kinds = regions.groupBy(F.col("anchor").alias("of")).agg(F.count("*").alias("kinds")).where("kinds > 1")
     mixed_ = regions.join(kinds, F.col("anchor") == F.col("of"))
     wanted = mixed_.groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.text_hash").alias("w_hash")).agg(
@@ -264,7 +265,9 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ("
     whole = regions.where("c > 1").select("anchor", "region", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("at.n").alias("b"))).alias("spans"))
     judged = whole.unionByName(by_array).unionByName(by_hash).select(F.col("anchor").alias("j_anchor"), F.col("region").alias("j_region"), "spans")
     placed = shared.join(judged, (F.col("anchor") == F.col("j_anchor")) & (F.col("region") == F.col("j_region"))).select(
-        "doc_id", "text_hash", F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b"))).alias("spans")
+        "doc_id",
+        "text_hash",
+        F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (F.least(s["b"], F.col("n")) + F.col("first")).alias("b"))).alias("spans"),
     )
     gone = placed.groupBy(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).agg(F.collect_set("spans").alias("spans"))
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
