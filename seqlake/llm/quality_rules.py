@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import table, text_or_empty, words
+from seqlake.llm.common import broadcast_if_small, checkpointed, table, text_or_empty, words
 
 #: A line is above the limit if more texts of its host hold it than both of these allow.
 MIN_TEXTS = 10
@@ -18,8 +18,10 @@ MAX_SHARE = 0.1
 #: A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.5
 MIN_WORDS = 50
-#: A frequent line is in more than MIN_TEXTS texts, so this many copies of it are at most as many as the lines.
+#: Parts into which a host's documents are dealt for the join with its frequent lines.
 SALTS = 8
+#: Lines, and hosts with frequent lines, that are broadcast at most (about 100 bytes a line, some KB a host); more are shuffled.
+MAX_BROADCAST_LINES, MAX_BROADCAST_HOSTS = 100_000, 1_000
 
 
 def with_base_counts(docs: DataFrame, text: Column) -> DataFrame:
@@ -57,42 +59,54 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def normalised(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+def normalised(text: Column) -> Column:
+    """Lower case, and each run of white space within a line as one space."""
+    return F.lower(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row per document and distinct line with a word: doc_id, host, text hash, line hash, words in all its places."""
-    text = text_or_empty("text")
-    parts = F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
-    return (
-        docs.select("doc_id", F.col("source").alias("host"), F.xxhash64(text).alias("text_hash"), F.explode(parts).alias("line"))
-        .select("doc_id", "host", "text_hash", F.xxhash64("line").alias("line_hash"), F.size(F.split("line", " ")).alias("n"))
-        .groupBy("doc_id", "host", "text_hash", "line_hash")
-        .agg(F.sum("n").alias("line_words"))
-    )
+def _line_hashes(text: Column) -> Column:
+    """Hash and words of each line with a word, in an array."""
+    lines = F.filter(F.transform(F.split(normalised(text), "\n"), lambda line: F.trim(line)), lambda line: line != "")
+    return F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("hash"), F.size(F.split(line, " ")).alias("words")))
 
 
 def frequent_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE) -> DataFrame:
-    """host, line_hash, n_texts of the lines above their host's limit."""
-    lines = _lines(docs)
-    texts = docs.select(F.col("source").alias("host"), F.xxhash64(text_or_empty("text")).alias("text_hash")).distinct()
-    hosts = texts.groupBy("host").agg((F.count("*") * max_share).alias("allowed"))
-    counted = lines.select("host", "line_hash", "text_hash").distinct().groupBy("host", "line_hash").agg(F.count("*").alias("n_texts"))
-    often = counted.where(F.col("n_texts") > min_texts)
-    return often.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where("n_texts > allowed").select("host", "line_hash", "n_texts")
-
-
-def _removed(docs: DataFrame, min_texts: int, max_share: float) -> DataFrame:
-    """doc_id, text_hash, the hashes of the lines to remove and the words in them, for documents that have any."""
-    frequent = frequent_lines(docs, min_texts, max_share).select(
-        F.col("host").alias("f_host"), F.col("line_hash").alias("f_line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt")
+    """host, line_hash, n_texts of the lines above their host's limit.
+
+    A line's documents, of which copies of a text are several, are at least as many as its distinct texts. So lines
+    are counted by document first, which needs no text hashes in the shuffle, and only those above the limit by
+    that count are counted by distinct text.
+    """
+    text = text_or_empty("text")
+    lines = docs.select(
+        F.col("source").alias("host"),
+        F.xxhash64(text).alias("text_hash"),
+        F.explode(F.array_distinct(F.transform(_line_hashes(text), lambda line: line["hash"]))).alias("line_hash"),
     )
-    lines = _lines(docs).withColumn("salt", F.pmod(F.hash("doc_id", "text_hash"), F.lit(SALTS)))
-    hit = lines.join(frequent, (F.col("line_hash") == F.col("f_line")) & (F.col("salt") == F.col("f_salt")) & F.col("host").eqNullSafe(F.col("f_host")))
-    return hit.groupBy(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).agg(
-        F.collect_set("line_hash").alias("r_lines"), F.sum("line_words").alias("n_removed_words")
+    texts = docs.select(F.col("source").alias("h"), F.xxhash64(text).alias("text_hash")).distinct()
+    hosts = checkpointed(texts.groupBy("h").agg((F.count("*") * max_share).alias("allowed")))
+    above = lambda df: df.where(F.col("n") > min_texts).join(hosts, F.col("host").eqNullSafe(F.col("h"))).where("n > allowed").drop("h", "allowed")
+    many = checkpointed(above(lines.groupBy("host", "line_hash").agg(F.count("*").alias("n"))))
+    many = broadcast_if_small(many.select(F.col("host").alias("m_host"), F.col("line_hash").alias("m_line")), MAX_BROADCAST_LINES)
+    some = lines.join(many, (F.col("line_hash") == F.col("m_line")) & F.col("host").eqNullSafe(F.col("m_host")), "left_semi").distinct()
+    return above(some.groupBy("host", "line_hash").agg(F.count("*").alias("n"))).withColumnRenamed("n", "n_texts")
+
+
+def _marked(docs: DataFrame, host: Column, text: Column, min_texts: int, max_share: float, of: DataFrame) -> DataFrame:
+    """The rows of docs with the frequent lines of their host (of the documents of), and the words in those that they hold.
+
+    Each frequent line is in more than max_share of the host's texts, so a host has at most 1 / max_share times as
+    many of them as one of its texts has lines on average; they fit into one array. Hosts are salted for the join.
+    """
+    frequent = frequent_lines(of, min_texts, max_share).groupBy(F.col("host").alias("f_host")).agg(F.collect_list("line_hash").alias("frequent"))
+    frequent = broadcast_if_small(
+        checkpointed(frequent).withColumn("f_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), MAX_BROADCAST_HOSTS * SALTS
     )
+    salted = docs.withColumn("salt", F.pmod(F.hash("doc_id", text), F.lit(SALTS)))
+    joined = salted.join(frequent, (F.col("salt") == F.col("f_salt")) & host.eqNullSafe(F.col("f_host")), "left").drop("salt", "f_salt", "f_host")
+    held = F.filter(_line_hashes(text), lambda line: F.array_contains("frequent", line["hash"]))
+    n = F.aggregate(held, F.lit(0).cast("long"), lambda total, line: total + line["words"])
+    return joined.withColumn("n_removed_words", F.when(F.col("frequent").isNotNull(), n).otherwise(F.lit(0).cast("long")))
 
 
 def judge(docs: DataFrame, min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
@@ -102,12 +116,10 @@ def judge(docs: DataFrame, min_texts: int = MIN_TEXTS, max_share: float = MAX_SH
     source is a host of its own; equal rows get equal verdicts and count as one text for the line limits; an
     empty table gives an empty result; further columns are ignored.
     """
-    base = docs.select("doc_id", text_or_empty("text").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    base = with_base_counts(base, F.col("text")).drop("text")
+    base = docs.select("doc_id", text_or_empty("text").alias("text"), F.col("source").alias("host"))
+    marked = _marked(base, F.col("host"), F.col("text"), min_texts, max_share, docs)
+    judged = with_base_counts(marked.select("doc_id", "text", "n_removed_words"), F.col("text")).drop("text")
     failed = base_failed()
-    removed = _removed(docs, min_texts, max_share).drop("r_lines")
-    judged = base.join(removed, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left")
-    judged = judged.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     left = F.col("n_words") - F.col("n_removed_words")
     return judged.select(
         *["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
@@ -123,16 +135,15 @@ def clean_documents(docs: DataFrame, min_texts: int = MIN_TEXTS, max_share: floa
     n_chars, if there is such a column, is counted again where a line was removed. Rows with the same doc_id
     and text share a verdict. Null and empty texts are rejected.
     """
-    text = text_or_empty("text")
+    text = text_or_empty(F.col("row.text"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    base = with_base_counts(docs.select(row, "doc_id", F.xxhash64(text).alias("text_hash")), text_or_empty(F.col("row.text")))
+    marked = _marked(docs.select(row, "doc_id"), F.col("row.source"), text, min_texts, max_share, docs)
+    base = with_base_counts(marked.drop("doc_id"), text)
     # The row number keeps the test above the counts: pushed below, it would repeat all that they are made from.
     base = base.withColumn("at", F.monotonically_increasing_id()).where(~base_failed() & (F.col("at") >= 0))
-    base = base.select("row", "doc_id", "text_hash", "n_words")
-    joined = base.join(_removed(docs, min_texts, max_share), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left")
-    kept = joined.where(F.col("n_words") - F.coalesce("n_removed_words", F.lit(0)) >= min_left * F.col("n_words"))
-    lines = F.filter(F.split(F.col("row.text"), "\n"), lambda line: ~F.array_contains(F.col("r_lines"), F.xxhash64(normalised(line))))
-    cleaned = kept.withColumn("cleaned", F.when(F.col("r_lines").isNotNull(), F.array_join(lines, "\n")))
+    kept = base.where(F.col("n_words") - F.col("n_removed_words") >= min_left * F.col("n_words"))
+    lines = F.filter(F.split(F.col("row.text"), "\n"), lambda line: ~F.array_contains("frequent", F.xxhash64(F.trim(normalised(line)))))
+    cleaned = kept.withColumn("cleaned", F.when(F.col("n_removed_words") > 0, F.array_join(lines, "\n")))
     mended = {"text": F.coalesce("cleaned", "row.text"), "n_chars": F.coalesce(F.length("cleaned").cast("long"), F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.coalesce("cleaned", "row.text")}
     return cleaned.select(*[mended.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
