@@ -64,6 +64,34 @@ def test_repeated_rows_and_null_ids(spark):
     assert got(spark, []) == {}
 
 
+@pytest.mark.parametrize("classes", [3, 512])
+def test_every_link_is_counted(spark, monkeypatch, classes):
+    """Groups within a block and over many: each document's links, copies among them, against all pairs."""
+    monkeypatch.setattr(N, "BLOCK_CLASSES", classes)
+    monkeypatch.setattr(N, "MAX_LIST", 4)
+    rows = corpus(5, groups=6, copies=14)
+    rows += [(i + 1, t) for i, t in rows[::3]] + EDGES
+    sets = {i: brute_grams(t) for i, t in rows}
+    expected = {i: sum(j != i and bool(a) and 100 * len(a & b) >= 85 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    assert max(expected.values()) > 9
+    rows += [rows[0], (None, rows[0][1])]
+    found = N.near_duplicates(frame(spark, rows), 4, 85, count_links=True)
+    assert found.columns == ["doc_id", "n_shingles", "component_id", "n_links"] and found.count() == len(rows)
+    assert {r.doc_id: r.n_links for r in found.collect()} == expected | {None: 0}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.where("doc_id is not null").collect()} == brute.jaccard_components(rows[:-1])
+
+
+def test_sums_do_not_depend_on_what_comes_before():
+    sets = np.random.default_rng(1).integers(0, 1 << 63, 90).astype(np.uint64)
+    twice = N.set_sums(np.concatenate([sets[:70], sets[70:], sets[70:]]), np.array([0, 70, 90, 110]))
+    assert all(s[1] == s[2] for s in twice)
+
+
+def brute_grams(text, size=4):
+    w = brute.WORD.findall((text or "").translate(brute.LOWER))
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+
+
 def test_list_scan_across_batches():
     """A list that runs over many batches gives the same links as in one."""
     import pyarrow as pa
