@@ -161,12 +161,8 @@ class GatedAttention:
         return self
 
 
-#: Passages of one training document at most, spread evenly over it; scoring takes all.
-TRAINING_PASSAGES = 64
-
-
 def fit(docs: DataFrame, labels: DataFrame, training, rows: int = SAMPLE_ROWS) -> GatedAttention:
-    """A network fitted on at most rows labelled training documents, each of up to TRAINING_PASSAGES passages."""
+    """A network fitted on at most rows labelled training documents, each with all its passages."""
     sample = labelled_sample(docs, labels, "quality", training, rows).select("doc_id", "text", F.col("label").cast("int").alias("label"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, training, rows: int = SAMPLE_ROWS) -
                 x, doc = passages(block.data, block.offsets)
                 edges = np.searchsorted(doc, np.arange(block.last - block.first + 1))
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    some = np.unique(np.linspace(a, b - 1, min(b - a, TRAINING_PASSAGES)).astype(int))
-                    rows_.append(x[some].astype(np.float32).tobytes())
+                    rows_.append(x[a:b].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows_, pa.binary()), batch.column(2)], names=["doc_id", "x", "label"])
 
     found = sorted(((r["doc_id"], bytes(r["x"]), r["label"]) for r in sample.mapInArrow(encode, "doc_id long, x binary, label int").collect()))

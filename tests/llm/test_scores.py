@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqlake.llm import quality_model, toxicity
 from seqlake.llm.learning import fit_logistic, fold
@@ -60,6 +61,17 @@ def test_edges(spark):
         assert module.score(docs.limit(0), *model).count() == 0
 
 
+def test_training_takes_every_passage(spark, monkeypatch):
+    """Of a very long document too, and the same passages that scoring takes."""
+    n = 200
+    docs = spark.createDataFrame([(1, "word " * 64 * n + "end"), (2, "a b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_model.GatedAttention, "fit", lambda self, documents, label: seen.extend(map(len, documents)))
+    quality_model.fit(docs, labels, F.lit(True))
+    assert seen == [n + 1, 1, 1]
+
+
 def test_clauses():
     """The composed machine tells plain, aimed, negated and reported harm apart."""
     grammar = toxicity.Grammar([])
