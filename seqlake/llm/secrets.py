@@ -3,7 +3,7 @@
 Strong findings (assigned secrets, access identifiers, long hexadecimal runs) stand alone. Weak candidates
 are tokens that look like a secret and hosts or addresses of a service; on their own they are noise. A weak
 token is reported only when an access identifier or an endpoint begins within SCOPE code points of it; an
-endpoint only when an access identifier or a weak token does. The scopes are found by one sliding interval
+endpoint only when an access identifier, a weak token or a strong secret (assigned, or hexadecimal) does. The scopes are found by one sliding interval
 per document over its candidates.
 """
 
@@ -90,7 +90,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     free = (F.coalesce(strong_end, F.lit(0)) <= F.col("start")) & (F.coalesce(next_strong >= F.col("end"), F.lit(True)))
     linked = (
         F.when(F.col("kind") == number["weak"], seen("access", "endpoint") & free)
-        .when(F.col("kind") == number["endpoint"], seen("access", "weak") & free)
+        .when(F.col("kind") == number["endpoint"], seen("assign", "access", "hex", "weak") & free)
         .otherwise(F.col("kind").isNotNull())
     )
     judged = placed.withColumn("linked", F.coalesce(linked, F.lit(False)))

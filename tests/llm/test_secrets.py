@@ -49,5 +49,14 @@ def test_weak_parts_need_company(found):
     assert spans[9] == f"endpoint:0:26,weak:27:{27 + len(WEAK)}" and spans[10] == ""
 
 
+def test_endpoint_beside_a_strong_secret(found):
+    url, digits = "postgres://db.internal/app", "0123456789abcdef0123456789abcdef01234567"
+    rows = [(1, f"{url} password = hunter22"), (2, f"{digits} {url}"), (3, f"{url} {'x ' * 200}password = hunter22"), (4, f"{url} password = short"), (5, f"password={url}")]
+    spans = {r.doc_id: r.spans for r in found(rows)}
+    assert spans[1] == "endpoint:0:26,assign:27:46" and spans[2] == "hex:0:40,endpoint:41:67"
+    assert spans[3] == f"assign:{27 + 400}:{27 + 400 + 19}" and spans[4] == ""
+    assert spans[5] == "assign:0:17"
+
+
 def test_empty_table(found):
     assert found([]) == []
