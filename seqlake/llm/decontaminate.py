@@ -37,7 +37,7 @@ FOUND = T.StructType(
 class Windows:
     """The windows of some benchmark items, by length: sorted hashes, and the items of each window's words."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], size: int = WINDOW):
         self.by_length: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
         hashes: dict[int, set[int]] = defaultdict(set)
         texts = pa.array([text for _, text in items], pa.large_string())
@@ -52,7 +52,9 @@ class Windows:
                     continue
                 spelt = [lower[s:e].tobytes() for s, e in zip(words.start[a:b], words.end[a:b], strict=True)]
                 for j in range(len(spelt) - k + 1):
-                    self.by_length[k][b" ".join(spelt[j : j + k])].add(items[block.first + i][0])
+                    known = self.by_length[k][b" ".join(spelt[j : j + k])]
+                    if (item := items[block.first + i][0]) is not None:
+                        known.add(item)
                 hashes[k].update(window_hashes(each[a:b], k).tolist())
         self.by_length = {k: dict(v) for k, v in self.by_length.items()}
         self.hashes = {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in hashes.items()}
@@ -69,7 +71,7 @@ class Windows:
             for i in likely.tolist():
                 spelt = b" ".join(lower[s:e].tobytes() for s, e in zip(words.start[i : i + k], words.end[i : i + k], strict=True))
                 items = self.by_length[k].get(spelt)
-                if items:
+                if items is not None:
                     yield i, k, items
 
 
@@ -128,16 +130,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
     """Per row of docs: `row`, a struct of the columns to keep, and `found` with n_words, spans (words) and items.
 
     items are the ids as strings, in order. Defined results: a null text has no words; an item without words
-    has no windows; rows may repeat and each is judged; an empty table on either side gives no hits.
+    has no windows; an item with a null id has hits, but no id to list; rows may repeat and each is judged; an empty table on either side gives no hits.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pieces = max(1, -(-total // MAX_BROADCAST_BYTES))
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("text"))
     for piece in range(pieces):
         # One piece at a time, each within the bound, comes to the driver.
-        part = items.where(F.pmod(F.xxhash64("id"), F.lit(pieces)) == piece).collect()
+        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(pieces)) == piece).collect()
         shared = spark.sparkContext.broadcast(Windows([(x["id"], x["text"]) for x in part], size))
         schema = T.StructType([*out.schema.fields[:2], T.StructField("found", FOUND)])
         out = out.mapInArrow(_scan(shared, 1, 2 if piece else None), schema)

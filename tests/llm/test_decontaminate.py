@@ -50,6 +50,17 @@ def test_many_pieces(query, monkeypatch):
     assert query(CASES, items) == whole == brute.contamination(CASES, items)
 
 
+def test_items_without_an_id_give_hits(query, spark, monkeypatch):
+    docs = [(1, ITEM), (2, "a short item"), (3, "clean")]
+    items = [(None, ITEM), (7, "short item")]
+    hits = {r[0]: (r[2], r[3], r[5]) for r in query(docs, items)}
+    assert hits == {1: (11, 0, True), 2: (2, 1, True), 3: (0, 0, False)}
+    monkeypatch.setattr(D, "MAX_BROADCAST_BYTES", 10)
+    assert {r[0]: (r[2], r[3], r[5]) for r in query(docs, items)} == hits
+    kept = D.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [3]
+
+
 def test_empty_tables(query):
     assert query([], [(1, ITEM)]) == []
     assert [r[2:4] for r in query([(1, ITEM)], [])] == [(0, 0)]
