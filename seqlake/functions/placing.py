@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The checkpoint folder where the session names none, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from seqlake.errors import InvalidArgument
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where the session names none, as in tests, a
+    temporary folder serves a local master, whose executor is the driver; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise InvalidArgument("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints"
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the session names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

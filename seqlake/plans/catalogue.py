@@ -6,14 +6,14 @@ else are puts. event_id is unique and rises with time, so it numbers the operati
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.functions.placing import numbered
+from seqlake.functions.placing import numbered, shared_folder
 from seqlake.operators import maintain, reads, resolve
 from seqlake.operators.mutations import families, in_sequence, mutations
 from seqlake.sources.log_store import Backups, LogStore
@@ -254,10 +254,8 @@ def scan_page(spark, d):
 
 
 def _store(spark: SparkSession) -> LogStore:
-    """An empty store in a folder that all executors share: under the checkpoint folder, or a local one where there is none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    name = tempfile.mktemp(prefix="store-", dir="")
-    return LogStore.create(spark, f"{shared or tempfile.gettempdir()}/{name}/log", E1_SCHEMA)
+    """An empty store in a folder that all executors share."""
+    return LogStore.create(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}/log", E1_SCHEMA)
 
 
 def _filled(spark, d) -> LogStore:
