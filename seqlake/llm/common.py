@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlake.functions.placing import broadcast_if_small, checkpointed
+
+__all__ = ["WORD", "broadcast_if_small", "checkpointed", "crc32_of", "row_struct", "table", "text_or_empty", "utf8_bytes", "words"]
+
 #: Words of the quality, joining and mixing operators: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: The only use of a checkpoint folder of our own: where the session names none, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,18 +34,6 @@ def crc32_of(text: Column) -> Column:
     return F.crc32(text.cast("binary"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark df for broadcast only after counting that it has no more rows than max_rows.
-
-    Beyond that the join is left to Catalyst, which shuffles and splits skewed keys.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def row_struct(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """`row`: the columns of a table as one struct, so that no name clashes with those that an operator adds."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in columns or docs.columns]).alias("row")

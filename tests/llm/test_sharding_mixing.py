@@ -63,6 +63,18 @@ def fill(sizes, share=1.5, cap=2):
         free -= over
 
 
+def multiple(rows, goal, cap=2):
+    """The multiple of the weights at which the copies, none above cap, of (size, weight) rows add up to goal."""
+    full = set()
+    while True:
+        units = sum(s * w for i, (s, w) in enumerate(rows) if i not in full)
+        level = (goal - sum(cap * rows[i][0] for i in full)) / units if units else float("inf")
+        over = {i for i, (s, w) in enumerate(rows) if w and level * w > cap}
+        if over <= full:
+            return level
+        full |= over
+
+
 @pytest.mark.parametrize("weight", [None, "w"])
 def test_mix(spark, weight):
     rows = corpus(3000)
@@ -71,34 +83,66 @@ def test_mix(spark, weight):
         from pyspark.sql import functions as F
 
         docs = docs.withColumn("w", F.when(F.col("doc_id") % 3 == 0, 4.0).when(F.col("doc_id") % 3 == 1, 1.0))
-    got = M.mix(docs, weight=weight).collect()
+    # At a share of 1.5 the source "hot" has to give each document twice, whatever its weight; at 0.1 the weights decide.
+    share_ = 0.1 if weight else 1.5
+    got = M.mix(docs, share=share_, weight=weight).select("row.doc_id", "row.source", "size", "source_size", "target", "copies_taken", "taken").collect()
     assert len(got) == len(rows)
-    sizes, taken, largest = Counter(), Counter(), defaultdict(int)
+    sizes, taken, largest, parts = Counter(), Counter(), defaultdict(int), defaultdict(list)
+    w = lambda r: 4.0 if weight and (r.doc_id is not None and r.doc_id % 3 == 0) else 1.0
     for r in got:
-        assert r.size == len(brute.WORD.findall(r.text or "")) and 0 <= r.taken <= 2 * r.size and r.taken == r.copies_taken * r.size
+        assert 0 <= r.taken <= 2 * r.size and r.taken == r.copies_taken * r.size
         sizes[r.source] += r.size
         taken[r.source] += r.taken
         largest[r.source] = max(largest[r.source], r.size)
-    expected = fill(dict(sizes))
+        parts[r.source].append(r)
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(brute.WORD.findall(t or ""))) for i, t, _ in rows)
+    expected = fill(dict(sizes), share_)
     for r in got:
         assert r.source_size == sizes[r.source] and abs(r.target - expected[r.source]) < 1e-6 * max(1, r.target)
     for s in sizes:
-        if not weight or expected[s] < 0.9 * sizes[s]:  # else some copies stop at the limit
-            assert abs(taken[s] - expected[s]) <= (largest[s] if not weight else max(largest[s], 0.2 * expected[s]))
-    again = M.mix(docs.repartition(3), weight=weight).collect()
+        assert abs(taken[s] - expected[s]) <= largest[s]
+        # Each document has the whole copies of its inclusion odds, or one more, and those of a weight add up to about their share.
+        level = multiple([(r.size, w(r)) for r in parts[s]], expected[s]) if sizes[s] else 0
+        for k in (1.0, 4.0):
+            some = [r for r in parts[s] if w(r) == k and r.size]
+            copies = min(2.0, level * k)
+            assert all(int(copies) <= r.copies_taken <= min(2, int(copies) + 1) for r in some)
+            words = sum(r.size for r in some)
+            if len(some) > 200 and max(r.size for r in some) < 0.05 * words:
+                assert abs(sum(r.taken for r in some) / words - copies) < 0.1
+    again = M.mix(docs.repartition(3), share=share_, weight=weight).select("row.doc_id", "taken").collect()
     assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in got)
     if weight:
         share = lambda k: sum(r.taken for r in got if r.source == "hot" and (r.doc_id or 0) % 3 == k) / sum(r.size for r in got if r.source == "hot" and (r.doc_id or 0) % 3 == k)
         assert share(0) > share(1)
 
 
+def test_odd_weights(spark):
+    """Null counts as 1; below 0 and NaN never; where all that may be taken is at the limit, the source stays below its target."""
+    rows = [(i, "a b c", s, w) for i, (s, w) in enumerate([("a", None), ("a", 0.0), ("a", -1.0), ("a", float("nan")), ("b", 0.0), ("b", 0.0)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    got = {r.doc_id: r.copies_taken for r in M.mix(docs, weight="w").select("row.doc_id", "copies_taken").collect()}
+    assert got == {0: 2, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_fill_up_again(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{i}" if i else None: rng.choice([0, 1, rng.randint(1, 100), rng.randint(900, 1100)]) for i in range(30)}
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in M.targets(table).collect()}
+    assert got == pytest.approx(fill(sizes))
+
+
 def test_mixed_corpus(spark):
-    docs = frame(spark, corpus())
+    docs = frame(spark, corpus()).withColumnRenamed("bucket", "copies_taken").withColumnRenamed("shard", "a.b")
     mixed = M.mixed_corpus(docs)
-    assert mixed.columns == docs.columns
+    assert mixed.schema == docs.schema
     want = Counter()
-    for r in M.mix(docs).collect():
+    for r in M.mix(docs).select("row.doc_id", "row.text", "copies_taken").collect():
         want[r.doc_id, r.text] += r.copies_taken
-    assert Counter((r.doc_id, r.text) for r in mixed.collect()) == +want
+    rows = mixed.collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == +want
+    assert all((r["a.b"], r.target, r["copies_taken"], r.size) == ("x", "y", "z", "w") for r in rows)
     assert M.mixed_corpus(frame(spark, [])).count() == 0
     assert all(r.taken == 0 for r in M.mix(frame(spark, [(1, None, "a"), (2, "", None)])).collect())
