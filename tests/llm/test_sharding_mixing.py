@@ -43,6 +43,23 @@ def test_shards(spark, monkeypatch):
     assert sizes[9001] == (1, 0) and sizes[9003] == (400_001, zlib.crc32(b"w " * 200_000))
 
 
+def test_repeated_rows_are_spread(spark, monkeypatch):
+    """Rows that are equal, or equal in doc_id and text, do not meet in one bucket; the result stays the same from run to run."""
+    rows = [(None, "same", "a.b", i % 2) for i in range(600)] + [(i, f"text {i}", "x", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `source.of` string, row int")
+    sizes = []
+    offsets = S._offsets
+    monkeypatch.setattr(S, "_offsets", lambda counts: sizes.extend(r.n for r in counts.collect()) or offsets(counts))
+    monkeypatch.setattr(S, "MAX_PARTITIONS", 3)  # several buckets to a partition
+    run = lambda d: sorted(((r.doc_id, r.text, r["source.of"], r["row"], r.shard, r.slot) for r in S.external_shuffle(d, 7, 1, 3000).collect()), key=str)
+    got = run(docs)
+    assert sum(sizes) == 900 and max(sizes) < 150
+    assert Counter(r[:4] for r in got) == Counter(rows)
+    counts = Counter(r[4] for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1 and all(sorted(r[5] for r in got if r[4] == s) == list(range(n)) for s, n in counts.items())
+    assert run(docs.repartition(5)) == got
+
+
 def test_written_shards(spark, tmp_path):
     S.write_shards(S.external_shuffle(frame(spark, corpus()), 4), f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(corpus())
