@@ -47,6 +47,30 @@ def base_secrets(text):
     return [f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found)]
 
 
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+CANDIDATES = {
+    "account": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    "weak": re.compile(r"[A-Za-z0-9+/_-]{32,}"),
+    "endpoint": re.compile(r"[a-z]{2,12}://[A-Za-z0-9._:@/-]{4,}|\b" + OCTET + r"(?:\." + OCTET + r"){3}\b", re.ASCII),
+}
+BESIDE = {"account": {"assign", "hex", "weak"}, "weak": {"access", "account", "endpoint"}, "endpoint": {"assign", "access", "hex", "weak"}}
+
+
+def linked_secrets(text, scope=200):
+    """The base spans, and the candidates with a complementary part near that overlap none of them."""
+    text = text or ""
+    base = [(int(a), k, int(b)) for k, a, b in (s.split(":") for s in base_secrets(text))]
+    weak = [(m.start(), k, m.end()) for k, p in CANDIDATES.items() for m in p.finditer(text)]
+    weak = [w for w in weak if w[1] != "weak" or all(re.search(c, text[w[0] : w[2]]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
+    kept = [
+        w
+        for w in weak
+        if any(o[1] in BESIDE[w[1]] and abs(o[0] - w[0]) <= scope for o in base + weak) and not any(o[0] < w[2] and w[0] < o[2] for o in base)
+    ]
+    order = [*SECRETS, *CANDIDATES]
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(base + kept, key=lambda x: (x[0], order.index(x[1]), x[2])))
+
+
 def repeated_bytes(texts, size):
     """For each text, which bytes a string of that size covers that also starts elsewhere."""
     seen = defaultdict(int)

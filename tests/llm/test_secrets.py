@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -58,5 +59,16 @@ def test_endpoint_beside_a_strong_secret(found):
     assert spans[5] == "assign:0:17"
 
 
+def test_linked_spans_against_brute_force(found):
+    rng = random.Random(3)
+    digits = "0123456789abcdef0123456789abcdef01234567"
+    pieces = [f'token = "{digits}"', digits, "jane.doe7@mail3.example.com", "97.51.17.173", "300.1.1.1", "1.2.3.4.5", KEY, WEAK, WEAK.lower(), "é😀", "https://api.example.com/v1", "password=x@y.example.com"]
+    rows = [(i, "".join(rng.choice(pieces) + " " * rng.choice([1, 1, 2, 190, 210]) + "w" * rng.randint(0, 3) for _ in range(rng.randint(0, 9)))) for i in range(120)]
+    rows += [*CASES, (500, "Ask jane@example.com, token = abcdefgh at 10.0.0.1"), (501, "Ask jane@example.com at 10.0.0.1"), (None, f"10.0.0.1 {digits}"), (None, f"10.0.0.1 {digits}")]
+    got = sorted(((r.doc_id, r.spans) for r in found(rows)), key=str)
+    assert got == sorted(((i, brute.linked_secrets(t)) for i, t in rows), key=str)
+    assert dict(got)[500] == "account:4:20,assign:22:38,endpoint:42:50" and dict(got)[501] == ""
+
+
 def test_empty_table(found):
     assert found([]) == []
