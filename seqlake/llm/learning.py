@@ -16,10 +16,12 @@ def fold(modulus: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text and label of at most rows labelled training documents, chosen by a hash of doc_id.
+    """doc_id, text and label of at most rows labelled training documents, chosen by a hash of doc_id.
 
     The chosen ids are few, as stated by rows, so they are broadcast and the documents stay where they are.
-    Labels other than 0 and 1 are left out; of several labels of one document the highest counts.
+    Labels other than 0 and 1 are left out; of several labels of one document the highest counts, and of several
+    texts the one with the least hash. A null text is empty; a label without a document, and a null doc_id, are left
+    out; an empty table on either side gives an empty sample.
     """
     chosen = (
         labels.where(training & F.col(label).isin(0, 1))
@@ -30,7 +32,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
         .withColumnRenamed("doc_id", "chosen")
     )
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))
-    return found.select("doc_id", "text", "label").limit(2 * rows)
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text"))).alias("one")
+    return found.groupBy("doc_id").agg(one, F.max("label").alias("label")).select("doc_id", "one.text", "label")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -2,9 +2,10 @@
 
 Words are mapped to symbols (insult, threat, target, negation, report, other). Small transducers, one for each
 aspect of a clause, are composed into one machine; run over a clause, it says which pattern the clause is: an
-insult or a threat, aimed at a target or not, and plain, negated or reported. A document's score is a logistic
-function of the weights of its matched clauses. Besides the fixed words, the lexicon holds words and word
-beginnings learned from the labelled training rows.
+insult or a threat, aimed at a target or not, and plain, negated or reported. The words' weights are those of the
+machine's arcs, and add up to the weight of the clause; the fitted weight of the pattern is that of its final state. A
+document's score is a logistic function of its matched clauses: nothing counts that no clause has matched. Besides
+the fixed words, the lexicon holds words and word beginnings learned from the labelled training rows.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ LEXICON = {
     NEGATION: "not never nobody isn't aren't don't nicht kein keine nie jamais nunca jamás",
     REPORT: "said says say wrote writes claimed quoted called reported sagte schrieb nannte behauptete dit écrit appelé dijo escribió llamó",
 }
+#: Words that announce a deed: a learned word that mostly follows one of them is a threat.
+INTENT = "will gonna shall i'll we'll werde werden voy vamos vais"
 #: Letters of a learned word beginning, at least and at most.
 STEM_LENGTHS = (5, 8)
 #: A word or beginning is learned if it is in this share of the toxic training texts, and this many times as likely there.
 MIN_SUPPORT, MIN_RATIO = 0.015, 6.0
-#: Learned entries at most; the strongest are kept.
-MAX_LEARNED = 400
 #: Words after a negation or a report that it covers.
 REACH = 4
 
@@ -98,17 +99,19 @@ def clause_machine() -> tuple[np.ndarray, np.ndarray]:
 
 
 N_PATTERNS = 13
-N_FEATURES = N_PATTERNS - 1 + 5
+#: Patterns that are neither negated nor reported.
+PLAIN = [p for p in range(N_PATTERNS - 1) if p % 3 == 0]
+N_FEATURES = N_PATTERNS - 1 + 4
 
 
 class Grammar:
     """The lexicon as hashes of words and word beginnings, with symbols and weights."""
 
-    def __init__(self, learned: list[tuple[str, bool, float]]):
-        """learned: (word or beginning, whether it is a whole word, weight)."""
+    def __init__(self, learned: list[tuple[str, bool, float, int]]):
+        """learned: (word or beginning, whether it is a whole word, weight, symbol)."""
         entries = [(w, True, 3.0 if s in (INSULT, THREAT) else 0.0, s) for s, line in LEXICON.items() for w in line.split()]
         known = {w for w, *_ in entries}
-        entries += [(w, whole, weight, INSULT) for w, whole, weight in learned if not (whole and w in known)]
+        entries += [entry for entry in learned if not (entry[1] and entry[0] in known)]
         self.words = self._table([e for e in entries if e[1]])
         lengths = sorted({len(e[0].encode()) for e in entries if not e[1]})
         self.stems = {n: self._table([e for e in entries if not e[1] and len(e[0].encode()) == n]) for n in lengths}
@@ -145,7 +148,8 @@ class Grammar:
         return symbol, weight
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """One row per document: summed weights by clause pattern, then totals."""
+        """One row per document: summed weights by clause pattern; then, of the clauses that are neither negated nor
+        reported, the weight by words, the gravest and their number; and the length of the text."""
         n = len(offsets) - 1
         out = np.zeros((n, N_FEATURES))
         words = find_words(data, offsets, IS_LETTER)
@@ -161,39 +165,70 @@ class Grammar:
         which = np.unique(np.searchsorted(first, harm, "right") - 1)
         step, pattern = clause_machine()
         counts = np.bincount(words.doc, minlength=n)
-        total = np.bincount(words.doc[harm], weights=weight[harm], minlength=n)
-        strong = np.zeros(n)
-        np.maximum.at(strong, words.doc[harm], weight[harm])
+        strong, times = np.zeros(n), np.zeros(n)
         for c in which.tolist():
             a, b, state = first[c], last[c], 0
             for x in symbol[a:b].tolist():
                 state = step[state, x]
-            out[words.doc[a], pattern[state] - 1] += weight[a:b].sum()
+            doc, found, grave = words.doc[a], pattern[state] - 1, weight[a:b].sum()
+            out[doc, found] += grave
+            if found in PLAIN:
+                strong[doc] = max(strong[doc], grave)
+                times[doc] += 1
+        total = out[:, PLAIN].sum(axis=1)
         out[:, : N_PATTERNS - 1] = np.log1p(out[:, : N_PATTERNS - 1])
-        times = np.bincount(words.doc[harm], minlength=n)
-        rest = [np.log1p(total), 100 * total / np.maximum(counts, 30) / 5, strong, np.log1p(times), np.log1p(counts) / 5]
+        rest = [100 * total / np.maximum(counts, 30) / 5, strong, np.log1p(times), np.log1p(counts) / 5]
         out[:, N_PATTERNS - 1 :] = np.stack(rest, axis=1)
         return out
 
 
-def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
-    """Words and beginnings that mark the toxic texts of the sample, with the logarithm of how much likelier they are."""
-    texts = sample.select(F.lower("text").alias("text"), "label").dropDuplicates(["text"]).withColumn("id", F.monotonically_increasing_id())
+def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float, int]]:
+    """Words and beginnings that mark the toxic texts of the sample, as Grammar() takes them, and the words aimed at.
+
+    A weight is the logarithm of how much likelier a term is in toxic texts. A term that follows a word of INTENT at half of its
+    places or more is a threat, else an insult. A word that stands directly before such a term MIN_RATIO times as often as
+    words do on average is a target. All terms above the two thresholds are taken; how many, the bounded sample bounds.
+    """
+    texts = sample.select(F.lower("text").alias("text"), "label").dropDuplicates(["text"]).withColumn("id", F.xxhash64("text"))
     totals = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return []
-    word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}']+"), F.lit(0))))
+    texts = texts.select("id", "label", F.regexp_extract_all("text", F.lit(r"[\p{L}']+"), F.lit(0)).alias("found"))
     low, high = STEM_LENGTHS
     begin = F.transform(
         F.sequence(F.lit(low), F.lit(high)), lambda k: F.when(F.length("word") > k, F.concat(F.substring("word", F.lit(1), k), F.lit("*")))
     )
-    terms = texts.select("id", "label", word.alias("word")).select("id", "label", F.explode(F.concat(F.array("word"), begin)).alias("term"))
-    counted = terms.where("term is not null").distinct().groupBy("term").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+    uses = texts.select("id", "label", F.explode(_uses(F.col("found"))).alias("use")).select("id", "label", "use.*")
+    terms = uses.select("id", "label", "n", "meant", F.explode(F.concat(F.array("word"), begin)).alias("term")).where("term is not null")
+    each = terms.groupBy("id", "label", "term").agg(F.sum("n").alias("n"), F.sum("meant").alias("meant"))
+    counted = each.groupBy("term").agg(
+        F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"), F.sum(F.col("n") * F.col("label")).alias("n"), F.sum(F.col("meant") * F.col("label")).alias("meant")
+    )
     ratio = (F.col("t") + 0.5) / (toxic + 1) / ((F.col("c") + 0.5) / (clean + 1))
-    strong = counted.where((F.col("t") >= max(4, MIN_SUPPORT * toxic)) & (ratio >= MIN_RATIO))
-    best = strong.withColumn("weight", F.log(ratio)).orderBy(F.desc(F.col("weight") * F.sqrt("t")), "term").limit(MAX_LEARNED).collect()
-    return [(r["term"].rstrip("*"), not r["term"].endswith("*"), float(r["weight"])) for r in best]
+    least = max(4, MIN_SUPPORT * toxic)
+    strong = counted.where((F.col("t") >= least) & (ratio >= MIN_RATIO)).withColumn("weight", F.log(ratio)).orderBy("term").collect()
+    learned = [(r["term"].rstrip("*"), not r["term"].endswith("*"), float(r["weight"]), THREAT if 2 * r["meant"] >= r["n"] else INSULT) for r in strong]
+    harm = F.array(*[F.lit(w) for w in sorted({w for w, whole, *_ in learned if whole} | set(f"{LEXICON[INSULT]} {LEXICON[THREAT]}".split()))])
+    both = F.explode(F.arrays_zip(F.col("found").alias("before"), F.slice("found", 2, F.size("found")).alias("word"))).alias("pair")
+    pairs = texts.where("label = 1 and size(found) > 1").select(both).select("pair.before", F.array_contains(harm, F.col("pair.word")).cast("int").alias("hit"))
+    near = pairs.groupBy("before").agg(F.sum("hit").alias("hit"), F.count("*").alias("n"))
+    all_ = near.agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).first()
+    rate = (all_["hit"] or 0) / (all_["n"] or 1)
+    aimed = near.where((F.col("hit") >= least) & (F.col("hit") >= MIN_RATIO * rate * F.col("n"))).orderBy("before").collect()
+    known = {w for w, *_ in learned} | {w for line in (*LEXICON.values(), INTENT) for w in line.split()}
+    return learned + [(r["before"], True, 0.0, TARGET) for r in aimed if r["before"] not in known]
+
+
+def _uses(found):
+    """Each different word of an array with its number of places (n) and of those after a word of INTENT (meant)."""
+    intent = F.array(*[F.lit(w) for w in sorted(set(INTENT.split()))])
+    before = F.concat(F.array(F.lit("")), found)
+    meant = F.filter(F.zip_with(found, before, lambda w, b: F.when(F.array_contains(intent, b), w)), lambda w: w.isNotNull())
+    return F.transform(
+        F.array_distinct(found),
+        lambda w: F.struct(w.alias("word"), F.lit(1).alias("n"), F.array_contains(meant, w).cast("int").alias("meant")),
+    )
 
 
 def _features(grammar, text_at: int):
@@ -237,6 +272,7 @@ def score(docs: DataFrame, grammar: Grammar, weights: np.ndarray, keep: tuple[st
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7: every document scored by a grammar fitted on the other folds; without labels all scores are equal."""
     docs = table(spark, sf_dir, "documents")
     grammar, weights = fit(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
     scored = score(docs, grammar, weights).select("row.doc_id", "score")

@@ -89,6 +89,20 @@ def test_clauses():
     assert pattern("i will kill you") == [9]
     assert pattern("not now. idiot") == [0]
     assert pattern("an idiot. you came") == [0]
+    negated = b"you are not an idiot"
+    found = grammar.features(np.frombuffer(negated, np.uint8), np.array([0, len(negated)]))[0]
+    assert found[toxicity.N_PATTERNS - 1 : -1].tolist() == [0, 0, 0]  # only plain clauses count towards the rest
+
+
+def test_learned_threats_and_targets(spark):
+    """A word that follows an announcement is a threat, others are insults, and the word that stands before them is a target."""
+    fine = "and the fine words of a long and quiet day " * 4
+    rows = [(i, f"day {i} they will zorkle the town. gorp blerg here {fine}" if i % 2 else f"day {i} they will see the town. gorp is here {fine}", i % 2) for i in range(40)]
+    rows += [(100 + i, f"so gorp blerg number {i}", 1) for i in range(20)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    learned = {(w, whole): symbol for w, whole, _, symbol in toxicity.learn_lexicon(sample)}
+    assert learned["zorkle", True] == toxicity.THREAT and learned["blerg", True] == toxicity.INSULT and learned["gorp", True] == toxicity.TARGET
+    assert ("town", True) not in learned and toxicity.learn_lexicon(sample.where("label = 0")) == []
 
 
 def test_attention_gradients():
