@@ -27,10 +27,10 @@ STRONG = {
     "access": (r"(AKIA[A-Z0-9]{16,})", 1, 20),
     "hex": (r"([0-9a-f]{24,})", 1, 24),
 }
-#: Weak candidates: a mail address; 32 or more characters of a token; an address with a scheme, or four numbers up to 255.
+#: Weak candidates: a mail address (its parts bounded, which bounds the search); 32 or more characters of a token; an address with a scheme, or four numbers up to 255.
 NUMBER = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 WEAK = {
-    "account": (r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", 1, 6),
+    "account": (r"([A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})", 1, 6),
     "weak": (r"([A-Za-z0-9+/_-]{32,})", 1, 32),
     "endpoint": (r"([a-z]{2,12}://[A-Za-z0-9._:@/-]{4,}|\b" + NUMBER + r"(?:\." + NUMBER + r"){3}\b)", 1, 4),
 }

@@ -49,7 +49,7 @@ def base_secrets(text):
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 CANDIDATES = {
-    "account": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    "account": re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
     "weak": re.compile(r"[A-Za-z0-9+/_-]{32,}"),
     "endpoint": re.compile(r"[a-z]{2,12}://[A-Za-z0-9._:@/-]{4,}|\b" + OCTET + r"(?:\." + OCTET + r"){3}\b", re.ASCII),
 }
