@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from seqlake.functions.keys import has_prefix, in_range
 from seqlake.functions.placing import broadcast_if_small, by_ranges, numbered
 from seqlake.operators.mutations import RANGE_DELETE
-from seqlake.operators.resolve import as_of, range_deletes, view
+from seqlake.operators.resolve import as_of, meeting, range_deletes, view
 
-#: Requested keys that are broadcast, so that the log is not shuffled for them.
-MAX_BROADCAST_KEYS = 100_000
+#: Requested keys that are broadcast, so that the log is not shuffled for them; and those that the Parquet scan is asked for.
+MAX_BROADCAST_KEYS, MAX_SCAN_KEYS = 100_000, 1_000
 
 
 def _only(log: DataFrame, test: Column) -> DataFrame:
@@ -32,9 +32,14 @@ def get(log: DataFrame, key: bytes | str, cf: str | None = None, seq: int | None
 
 def multi_get(log: DataFrame, requests: DataFrame, seq: int | None = None) -> DataFrame:
     """For each request (pos, req_key): found, and the visible row; all from the same state, duplicates kept."""
-    keys = broadcast_if_small(requests.select(F.col("req_key").alias("_key")).distinct(), MAX_BROADCAST_KEYS)
-    wanted = log.where(F.col("op") < RANGE_DELETE).join(keys, F.col("key") == F.col("_key"), "left_semi")
-    shown = view(wanted.unionByName(log.where(F.col("op") == RANGE_DELETE)), seq)
+    distinct = requests.select(F.col("req_key").alias("_key")).where("_key is not null").distinct()
+    few = [r["_key"] for r in distinct.limit(MAX_SCAN_KEYS + 1).collect()]
+    if len(few) <= MAX_SCAN_KEYS:
+        shown = F.broadcast(view(_only(log, F.col("key").isin(few)), seq))  # a row for each key and family at most
+    else:
+        keys = broadcast_if_small(distinct, MAX_BROADCAST_KEYS)
+        wanted = log.where(F.col("op") < RANGE_DELETE).join(keys, F.col("key") == F.col("_key"), "left_semi")
+        shown = view(wanted.unionByName(log.where(F.col("op") == RANGE_DELETE)), seq)
     return requests.join(shown, F.col("req_key") == F.col("key"), "left").withColumn("found", F.col("key").isNotNull()).drop("key")
 
 
@@ -45,7 +50,8 @@ def exists(log: DataFrame, requests: DataFrame, seq: int | None = None) -> DataF
 
 def key_may_exist(log: DataFrame, requests: DataFrame) -> DataFrame:
     """pos, req_key and maybe: whether any operation names the key. Never false for a visible key."""
-    named = log.select(F.col("key").alias("_key")).distinct()
+    keys = broadcast_if_small(requests.select(F.col("req_key").alias("_req")).distinct(), MAX_BROADCAST_KEYS)
+    named = log.join(keys, F.col("key") == F.col("_req"), "left_semi").select(F.col("key").alias("_key")).distinct()
     return requests.join(named, F.col("req_key") == F.col("_key"), "left").select("pos", "req_key", F.col("_key").isNotNull().alias("maybe"))
 
 
@@ -116,5 +122,4 @@ def delete_counts(log: DataFrame, seq: int | None = None) -> DataFrame:
     """cf, key and n_deletes: how many range deletes lie over each key that any point row names."""
     known = as_of(log, seq)
     keys = known.where(F.col("op") < RANGE_DELETE).select("cf", "key").distinct()
-    held = (F.col("cf") == F.col("d_cf")) & (F.col("key") >= F.col("start_key")) & (F.col("key") < F.col("d_end"))
-    return keys.join(range_deletes(known), held).groupBy("cf", "key").agg(F.count("*").alias("n_deletes"))
+    return meeting(keys, range_deletes(known)).groupBy("cf", "key").agg(F.count("*").alias("n_deletes"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.functions.placing import broadcast_if_small, by_ranges
+from seqlake.functions.placing import by_ranges
 from seqlake.operators.mutations import PUT, RANGE_DELETE, payload
 
 #: Range deletes that are broadcast and tested one by one; more are swept in key order, range by range.
@@ -112,12 +112,18 @@ def view(log: DataFrame, seq: int | None = None) -> DataFrame:
 
 
 def segments(deletes: DataFrame) -> DataFrame:
-    """The range deletes as disjoint key ranges, each with the highest number over it: cf, start_key, end_key, del_seq.
+    """The range deletes as disjoint key ranges, each with the highest number over it: cf, low, high, del_seq.
 
-    Meant for the deletes of one compaction; the ranges between neighbouring bounds are joined with those over them.
+    Neighbouring bounds make a range; bounds are dealt to key ranges, and what follows the last bound of one comes from a
+    table of one row per key range. No bound lies within such a range, so a delete lies over it if it lies over its beginning.
     """
-    bounds = deletes.select("d_cf", F.explode(F.array("start_key", "d_end")).alias("bound")).distinct()
-    following = F.lead("bound").over(Window.partitionBy("d_cf").orderBy("bound"))
-    parts = bounds.select(F.col("d_cf").alias("cf"), F.col("bound").alias("low"), following.alias("high")).where("high is not null")
-    over = (F.col("cf") == F.col("d_cf")) & (F.col("start_key") <= F.col("low")) & (F.col("d_end") >= F.col("high"))
-    return parts.join(broadcast_if_small(deletes, MAX_BROADCAST_DELETES), over).groupBy("cf", "low", "high").agg(F.max("del_seq").alias("del_seq"))
+    bounds = deletes.select(F.col("d_cf").alias("cf"), F.explode(F.array("start_key", "d_end")).alias("low")).distinct()
+    ranged = by_ranges(bounds, ["cf", "low"])
+    least = F.min(F.struct("cf", "low")).alias("least")
+    # One row per shuffle partition.
+    after = ranged.groupBy(F.col("range_no").alias("of")).agg(least)
+    after = after.select("of", F.lead("least").over(Window.orderBy("of")).alias("after"))
+    here = F.lead(F.struct("cf", "low")).over(Window.partitionBy("range_no").orderBy("cf", "low"))
+    following = ranged.withColumn("here", here).join(F.broadcast(after), F.col("range_no") == F.col("of")).withColumn("next", F.coalesce("here", "after"))
+    parts = following.where("next.cf = cf").select("cf", F.col("low").alias("key"), F.col("next.low").alias("high"))
+    return meeting(parts, deletes).groupBy("cf", F.col("key").alias("low"), "high").agg(F.max("del_seq").alias("del_seq"))

@@ -290,6 +290,52 @@ def store_restored_view(spark, d):
     return _shown(backups.restore(backups.create(store), f"{root}/restored", E1_SCHEMA).view())
 
 
+def store_range_compacted(spark, d):
+    """Point rows left after one key range is compacted while a state is pinned."""
+    store, every = _store(spark), log(spark, d)
+    store.append(every.where(F.col("seq") <= MIDDLE))
+    pin = store.pin()
+    store.append(every.where(F.col("seq") > MIDDLE))
+    store.compact_range("u000020", "u000090")
+    store.vacuum()
+    assert store.oldest_sequence() == pin.sequence
+    return store.log().where("op = 1").select("key", "seq")
+
+
+def store_released_view(spark, d):
+    """What is left once a pinned state is released and the store compacted: the rows of the present."""
+    store = _filled(spark, d)
+    pin = store.pin()
+    store.compact()
+    store.release(pin)
+    store.compact()
+    store.vacuum()
+    return store.log().where("op = 1").select("key", "seq", "vtype", "v")
+
+
+def store_repaired_view(spark, d):
+    """A store rebuilt from folders of which one was never marked complete."""
+    store = _filled(spark, d)
+    fs, where = LogStore._at(spark, f"{store.path}/commit-0000000002/_SUCCESS")
+    fs.delete(where, False)
+    return _shown(LogStore.repair(spark, store.path, store.path.removesuffix("/log") + "/repaired", E1_SCHEMA).view())
+
+
+def store_total_size(spark, d):
+    """Files and bytes of a store as the file system tells them, beside the rows that its files hold: 1 where they agree."""
+    store = _filled(spark, d)
+    stored = store.log().select("*", "_metadata.file_path", "_metadata.file_size")
+    files = stored.groupBy("file_path").agg(F.max("file_size").alias("bytes"), F.count("*").alias("rows"))
+    told = store.get_property("num-files"), store.get_property("total-size")
+    return files.agg(F.sum("rows").alias("n_rows"), (F.count("*") <= told[0]).alias("files_agree"), (F.sum("bytes") <= told[1]).alias("sizes_agree"))
+
+
+def multi_get_many(spark, d):
+    """10,000 requests, of which most name keys that are not there."""
+    wanted = spark.range(10_000).select(F.col("id").alias("pos"), _padded("u", F.col("id"), 6).alias("req_key"))
+    return reads.multi_get(log(spark, d), wanted).select("pos", "req_key", "found", "seq", "v")
+
+
 def stream_ingest_view(spark, d):
     """Events arrive as files; each file is a micro-batch and a commit."""
     store, events = _store(spark), _table(spark, d, "events")
@@ -374,6 +420,16 @@ _SQL: dict[Callable, str] = {
     store_compacted_view: _with(_view(MIDDLE)) + "SELECT key, seq, vtype, v FROM w",
     store_checkpoint_view: _ALL,
     store_restored_view: _ALL,
+    store_range_compacted: _with(
+        "n AS (SELECT *, lag(seq) OVER (PARTITION BY key ORDER BY seq DESC) AS nxt FROM m WHERE op < 2)",
+        "h AS (SELECT n.key, n.seq, n.op, least(min(t.seq), any_value(n.nxt)) AS until FROM n LEFT JOIN m t ON t.op = 2 AND n.key >= t.key AND n.key < t.end_key AND t.seq > n.seq GROUP BY n.key, n.seq, n.op)",
+        f"p AS (SELECT max(seq) AS mark FROM m WHERE seq <= {MIDDLE})",
+    )
+    + "SELECT key, seq FROM h, p WHERE op = 1 AND (key < 'u000020' OR key >= 'u000090' OR until IS NULL OR (seq <= mark AND mark < until))",
+    store_released_view: _ALL,
+    store_repaired_view: _ALL,
+    store_total_size: _with() + "SELECT count(*) AS n_rows, true AS files_agree, true AS sizes_agree FROM m",
+    multi_get_many: _with(_view()) + "SELECT pos, req_key, key IS NOT NULL AS found, seq, v FROM (SELECT i AS pos, 'u' || lpad(i::VARCHAR, 6, '0') AS req_key FROM range(10000) x(i)) LEFT JOIN w ON key = req_key",
     stream_ingest_view: _ALL,
 }
 

@@ -1,38 +1,55 @@
 """A mutation log kept as Parquet: one folder per commit, compacted into base folders.
 
 A commit is a folder that Spark's writer has marked complete, so a reader sees a batch whole or not at all. A
-base holds what a compaction retained of all commits up to its number, and stands for them. Paths may be in
-any store that Hadoop reads. There is one writer at a time.
+base holds what a compaction retained of all commits up to its number, and stands for them. Beside its rows a
+folder has the highest number that the store had given with it, so that no write reads the log to number its rows.
+Pinned states are empty files in a folder of their own. Paths may be in any store that Hadoop reads. There is one
+writer at a time.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from seqlake.errors import InvalidArgument, NotFound
+from seqlake.functions.keys import in_range
 from seqlake.operators.maintain import retained
-from seqlake.operators.mutations import LOG_SCHEMA, WriteBatch, in_sequence
+from seqlake.operators.mutations import DEFAULT_FAMILY, LOG_SCHEMA, RANGE_DELETE, WriteBatch, in_sequence
 from seqlake.operators.resolve import view
 
 #: A base has the number of the last commit that it stands for, and a generation.
 _FOLDER = re.compile(r"(commit|base)-(\d{10})(?:\.(\d{6}))?")
 COMPRESSION = ("none", "snappy", "lz4", "zstd")
+_LAST, _PINS, _PIN = "_LAST", "_pins", re.compile(r"(\d{20})-(\w+)")
+
+
+class Pin(NamedTuple):
+    """A state that compactions keep until it is released."""
+
+    sequence: int
+    name: str
 
 
 class LogStore:
-    """Open a log folder; see create() for a new one."""
+    """Open a log folder; see create() for a new one. With families, one that holds rows of others is not opened."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType = LOG_SCHEMA, compression: str = "zstd"):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType = LOG_SCHEMA, compression: str = "zstd", families: Sequence[str] | None = None):
         if compression not in COMPRESSION:
             raise InvalidArgument(f"compression {compression!r} is none of {', '.join(COMPRESSION)}")
         self.spark, self.path, self.schema, self.compression = spark, path.rstrip("/"), schema, compression
         if not self._exists(self.path):
             raise InvalidArgument(f"there is no log at {path}")
+        if families is not None:
+            other = self.log().where(~F.col("cf").isin(DEFAULT_FAMILY, *families)).select("cf").first()
+            if other:
+                raise InvalidArgument(f"the log holds the family {other['cf']!r}, which is not among those named")
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, schema: StructType = LOG_SCHEMA, exist_ok: bool = False, **options) -> LogStore:
@@ -79,17 +96,36 @@ class LogStore:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*live).select(*self.schema.names)
 
+    def _last_of(self, folder: str) -> int:
+        """The highest number when the folder was written; from its rows, if the writer stopped before it noted the number."""
+        fs, where = self._at(self.spark, f"{self.path}/{folder}/{_LAST}")
+        if fs.exists(where):
+            stream = fs.open(where)
+            try:
+                return stream.readLong()
+            finally:
+                stream.close()
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}").agg(F.max("seq")).first()[0] or 0
+
+    def _note_last(self, folder: str, last: int) -> None:
+        fs, where = self._at(self.spark, f"{self.path}/{folder}/{_LAST}")
+        stream = fs.create(where, True)
+        stream.writeLong(last)
+        stream.close()
+
     def last_sequence(self) -> int:
-        return self.log().agg(F.max("seq")).first()[0] or 0
+        """The highest number given, which a read of the folders' notes tells."""
+        return max((self._last_of(name) for name in self._live()), default=0)
 
     def view(self, seq: int | None = None) -> DataFrame:
         return view(self.log(), seq)
 
-    def _save(self, rows: DataFrame, name: str) -> None:
-        """Sorted within families and key ranges, so that scans of a family or range skip the rest."""
+    def _save(self, rows: DataFrame, name: str, least: int = 0) -> None:
+        """Sorted within families and key ranges, so that scans of a family or range skip the rest; least: a number given before."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = rows.select(*self.schema.names).repartitionByRange(parts, "cf", "key").sortWithinPartitions("cf", "key", F.desc("seq"))
         ordered.write.mode("overwrite").option("compression", self.compression).parquet(f"{self.path}/{name}")
+        self._note_last(name, max(least, self._last_of(name)))
 
     def commit_as(self, number: int, rows: DataFrame) -> None:
         """Commit rows under a number of the caller's, in place of an earlier try."""
@@ -117,23 +153,51 @@ class LogStore:
             self.append(in_sequence(batch, order, last))
 
     def snapshot(self) -> int:
-        """The number to read at for the present state; pass it to compact() as long as it is in use."""
+        """The number to read at for the present state; see pin() to keep it through compactions."""
         return self.last_sequence()
 
+    def pin(self) -> Pin:
+        """Keep the present state readable, at the pin's sequence, until release()."""
+        pin = Pin(self.last_sequence(), uuid.uuid4().hex)
+        fs, where = self._at(self.spark, f"{self.path}/{_PINS}/{pin.sequence:020d}-{pin.name}")
+        fs.create(where, True).close()
+        return pin
+
+    def release(self, pin: Pin) -> None:
+        """Let the next compaction forget a pinned state; nothing happens if it is released already."""
+        fs, where = self._at(self.spark, f"{self.path}/{_PINS}/{pin.sequence:020d}-{pin.name}")
+        fs.delete(where, False)
+
+    def pins(self) -> list[Pin]:
+        """The states that are pinned now, the oldest first."""
+        fs, where = self._at(self.spark, f"{self.path}/{_PINS}")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+        return [Pin(int(m[1]), m[2]) for n in names if (m := _PIN.fullmatch(n))]
+
+    def oldest_sequence(self) -> int | None:
+        """The sequence of the oldest pinned state; None if there is none."""
+        return min((p.sequence for p in self.pins()), default=None)
+
     def compact(self, pinned: Sequence[int] = ()) -> None:
-        """Rewrite all rows to a new base with what the present and the pinned numbers need."""
+        """Rewrite all rows to a new base with what the present, the pins and the given numbers need."""
+        self._rebase(retained(self.log(), self._kept(pinned)))
+
+    def compact_range(self, lower: bytes | str | None = None, upper: bytes | str | None = None, pinned: Sequence[int] = ()) -> None:
+        """compact() for the keys with lower <= key < upper; other keys keep all their versions, and range deletes stay, as they reach further."""
+        log, inside = self.log(), in_range(F.col("key"), lower, upper)
+        wide = F.col("op") == RANGE_DELETE
+        kept = retained(log.where(inside | wide), self._kept(pinned)).where(~wide)
+        self._rebase(kept.select(*self.schema.names).unionByName(log.where(~inside | wide)))
+
+    def _kept(self, pinned: Sequence[int]) -> list[int]:
+        return sorted({*pinned, *(p.sequence for p in self.pins())})
+
+    def _rebase(self, rows: DataFrame) -> None:
         number = self._last_commit()
         if number:
             earlier = sum(kind == "base" and n == number for kind, n, _ in self._folders())
             # The number of the last operation has to outlive the operations that go.
-            self._save(self._with_last(retained(self.log(), pinned)), f"base-{number:010d}.{earlier:06d}")
-
-    def _with_last(self, rows: DataFrame) -> DataFrame:
-        """rows, and an empty range delete with the last number, which hides nothing."""
-        nothing = {"cf": F.lit("default"), "key": F.lit("").cast(self.schema["key"].dataType), "seq": F.lit(self.last_sequence()), "op": F.lit(2)}
-        nothing["end_key"] = F.lit("").cast(self.schema["end_key"].dataType)
-        mark = self.spark.range(1).select(*[nothing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema])
-        return rows.select(*self.schema.names).unionByName(mark)
+            self._save(rows, f"base-{number:010d}.{earlier:06d}", self.last_sequence())
 
     def vacuum(self) -> list[str]:
         """Delete folders that no read needs: incomplete ones, and those that a base stands for. Returns their names."""
@@ -145,11 +209,27 @@ class LogStore:
         return stale
 
     def checkpoint(self, path: str) -> LogStore:
-        """A copy of the store at another path, which may not exist."""
+        """A copy of the store at another path, which may not exist: each folder's rows as they lie, without a shuffle."""
         copy = LogStore.create(self.spark, path, self.schema, compression=self.compression)
-        copy.append(self.log())
+        for name in self._live():
+            rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}")
+            rows.write.option("compression", self.compression).parquet(f"{copy.path}/{name}")
+            copy._note_last(name, self._last_of(name))
         return copy
 
+    @classmethod
+    def repair(cls, spark: SparkSession, path: str, to: str, schema: StructType = LOG_SCHEMA) -> LogStore:
+        """A new store with every row that can still be read at path, in complete folders or not; unreadable files are left out."""
+        fs, where = cls._at(spark, path)
+        names = sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+        folders = [f"{path.rstrip('/')}/{n}" for n in names if _FOLDER.fullmatch(n)]
+        new = cls.create(spark, to, schema)
+        if folders:
+            rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(*folders)
+            # A base and the commits that it stands for hold some rows both. A number belongs to one operation.
+            new.append(rows.select(*schema.names).dropDuplicates(["cf", "key", "seq", "op"]))
+        return new
+
     def files(self) -> DataFrame:
         """Path, rows, key bounds and highest number of each file, read from the rows."""
         stored = self.log().withColumn("path", F.input_file_name())
@@ -159,8 +239,25 @@ class LogStore:
 
     def properties(self) -> dict[str, int]:
         """Counts of the store, each for the present."""
-        row = self.log().agg(F.count("*").alias("n"), F.max("seq").alias("s"), F.countDistinct("cf").alias("f")).first()
-        return {"num-rows": row["n"], "last-sequence": row["s"] or 0, "num-families": row["f"], "num-folders": len(self._live())}
+        row = self.log().agg(F.count("*").alias("n"), F.countDistinct("cf").alias("f")).first()
+        return {"num-rows": row["n"], "num-families": row["f"]} | {name: self.get_property(name) for name in ("last-sequence", "num-folders", "num-snapshots", "num-files", "total-size")}
+
+    def get_property(self, name: str) -> int | None:
+        """One property, told by names and sizes of files alone; None for an unknown name."""
+        if name == "last-sequence":
+            return self.last_sequence()
+        if name == "num-snapshots":
+            return len(self.pins())
+        if name == "num-folders":
+            return len(self._live())
+        if name in ("num-files", "total-size"):
+            sizes = [f.getLen() for n in self._live() for f in self._parquet_files(n)]
+            return len(sizes) if name == "num-files" else sum(sizes)
+        return None
+
+    def _parquet_files(self, folder: str) -> list:
+        fs, where = self._at(self.spark, f"{self.path}/{folder}")
+        return [f for f in fs.listStatus(where) if f.getPath().getName().endswith(".parquet")]
 
 
 class Backups:
