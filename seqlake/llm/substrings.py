@@ -4,7 +4,7 @@ The strings to judge are all windows of `size` bytes. To bring equal windows tog
 shards with all, each window is owned by the smallest hash of the grams inside it (a winnowing anchor): equal
 windows have the same anchor at the same place, so a shard that holds all regions around an anchor holds all
 occurrences of the windows that it owns. Regions whose anchor is unique repeat nothing; equal regions are
-counted as one. The different regions of an anchor go to shards of bounded size, whose suffix arrays and common
+copies, counted as one with their number before anything is shuffled by its anchor. The different regions of an anchor go to shards of bounded size, whose suffix arrays and common
 prefixes tell the repeated windows; an anchor that fills several shards is searched across them. An anchor
 with more regions than a few shards hold is judged by hashes of its windows, one row each.
 """
@@ -21,14 +21,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqlake.llm.bytescan import blocks, hash_ranges, mixed, prefix_sums
-from seqlake.llm.common import table
-from seqlake.llm.suffixes import repeated_across, repeated_within, suffix_array
+from seqlake.llm.common import broadcast_if_small, checkpointed, row_struct, table, text_or_empty
+from seqlake.llm.suffixes import only, repeated_across, repeated_within, suffix_array
 
 SIZE = 400
+#: Bytes of a passage that the query reports where it stands elsewhere too, though it is too short to be removed: about 42 words of prose.
+ECHO = 256
+#: Parts into which the runs of one anchor are dealt before they are counted.
+SALTS = 8
 #: Bytes of text in one suffix array.
 SHARD_BYTES = 1 << 20
 #: Different regions of an anchor that go to suffix arrays; an anchor with more is judged by hashed windows.
 MAX_REGIONS = 4096
+#: Anchors with more regions that are broadcast (8 bytes each); beyond, they are joined by a shuffle.
+MAX_BROADCAST_ANCHORS = 100_000
 #: Bits of a position within a block of documents.
 PLACE_BITS = 32
 
@@ -40,7 +46,7 @@ _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 def gram_of(size: int) -> int:
     """Bytes of an anchor: long enough that chance and stock phrases seldom share one."""
-    return max(1, size * 8 // 25)
+    return max(1, size // 4)
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -54,15 +60,15 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchored_runs(data: np.ndarray, offsets: np.ndarray, size: int):
-    """Runs of windows with the same anchor: document, first window, number of windows, anchor hash, region hash.
+def anchored_runs(data: np.ndarray, offsets: np.ndarray, size: int, reach: int):
+    """Runs of windows with the same anchor: document, first window, number of windows, bytes and hash of the region, anchor hash.
 
-    Windows count from the document's beginning. The region of a run spans all its windows; its hash also
-    tells where the anchor lies in it.
+    Windows count from the document's beginning. The region of a run spans reach bytes from each of its windows' beginnings,
+    as far as the document goes; its hash also tells where the anchor lies in it.
     """
     gram = gram_of(size)
     if len(data) < size:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     position = np.arange(len(data) - gram + 1)
     low = np.uint64((1 << PLACE_BITS) - 1)
     keys = (hash_ranges(prefix_sums(data, 1), position, position + gram) & ~low) | position.astype(np.uint64)
@@ -77,26 +83,40 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, size: int):
     new[1:] = held[1:] != held[:-1]
     at = np.flatnonzero(new)
     first, count, held = window[at], np.diff(np.append(at, len(window))), held[at]
-    sums = prefix_sums(data, 2)
-    around = hash_ranges(sums, first, first + count - 1 + size) + mixed((held - first).astype(np.uint64))
     doc = np.searchsorted(offsets, first, "right") - 1
-    return doc, first - offsets[doc], count, hash_ranges(sums, held, held + gram), mixed(around)
+    length = np.minimum(first + count - 1 + reach, offsets[doc + 1]) - first
+    sums = prefix_sums(data, 2)
+    around = hash_ranges(sums, first, first + length) + mixed((held - first).astype(np.uint64))
+    return doc, first - offsets[doc], count, length, hash_ranges(sums, held, held + gram), mixed(around)
+
+
+RUN = ("doc_id", "text_hash", "anchor", "region", "n", "length", "firsts")
+
 
+def _find_runs(size: int, reach: int):
+    """One row for each different region of an anchor in a text, with the places where its runs begin."""
 
-def _find_runs(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(0)):
-                doc, first, count, anchor, region = anchored_runs(block.data, block.offsets, size)
-                ids = [batch.column(i).take(pa.array(doc + block.first)) for i in (1, 2)]
-                rest = [pa.array(x) for x in (first, count, anchor.view(np.int64), region.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*ids, *rest], names=["doc_id", "text_hash", "first", "n", "anchor", "region"])
+                doc, first, count, length, anchor, region = anchored_runs(block.data, block.offsets, size, reach)
+                order = np.lexsort((first, region, anchor, doc))
+                new = np.ones(len(order), dtype=bool)
+                for x in (doc, anchor, region):
+                    new[1:] &= x[order][1:] == x[order][:-1]
+                new[1:] = ~new[1:]
+                at = np.flatnonzero(new)
+                firsts = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array(first[order]))
+                one = order[at]
+                ids = [batch.column(i).take(pa.array(doc[one] + block.first)) for i in (1, 2)]
+                rest = [pa.array(x[one]) for x in (anchor.view(np.int64), region.view(np.int64), count, length)]
+                yield pa.RecordBatch.from_arrays([*ids, *rest, firsts], names=RUN)
 
     return run
 
 
-def _cut_regions(size: int):
-    """From texts with lists of regions: each region's bytes, or for hot anchors two hashes of each window."""
+def _cut_regions(sizes: tuple[int, ...]):
+    """From texts with lists of regions: each region's bytes, or for hot anchors two hashes of each window, by size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,15 +124,18 @@ def _cut_regions(size: int):
                 raw = batch.column(0)[row].as_py().encode()
                 out = {k: [] for k in ("anchor", "region", "n", "bytes", "windows")}
                 for part in batch.column(1)[row].as_py():
-                    piece = raw[part["first"] : part["first"] + part["n"] - 1 + size]
+                    piece = raw[part["first"] : part["first"] + part["length"]]
                     windows = None
                     if part["hot"]:
-                        data, start = np.frombuffer(piece, np.uint8), np.arange(part["n"])
-                        pair = [hash_ranges(prefix_sums(data, seed), start, start + size).view(np.int64) for seed in (3, 4)]
-                        windows = [{"h1": a, "h2": b} for a, b in zip(*(p.tolist() for p in pair), strict=True)]
+                        data, windows = np.frombuffer(piece, np.uint8), []
+                        for level, size in enumerate(sizes):
+                            start = np.arange(max(0, min(part["n"], len(piece) - size + 1)))
+                            pair = [hash_ranges(prefix_sums(data, seed), start, start + size).view(np.int64) for seed in (3, 4)]
+                            windows += [{"level": level, "place": i, "h1": a, "h2": b} for i, (a, b) in enumerate(zip(*(p.tolist() for p in pair), strict=True))]
                     for k, v in zip(out, (part["anchor"], part["region"], part["n"], None if part["hot"] else piece, windows), strict=True):
                         out[k].append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64())])))
+                window = pa.struct([("level", pa.int32()), ("place", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(window))
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return run
@@ -123,8 +146,8 @@ def _runs_of(flags: np.ndarray) -> list[dict]:
     return [{"a": a, "b": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
 
 
-def _judge(shards: list[list[tuple]], size: int) -> Iterator[tuple]:
-    """(anchor, region, spans of repeated windows) of the regions in shards of one unit.
+def _judge(shards: list[list[tuple]], sizes: tuple[int, ...]) -> Iterator[tuple]:
+    """(anchor, region, spans of repeated windows of each size) of the regions in shards of one unit.
 
     Each shard has its own suffix array. If a unit has several, windows not yet found repeated are searched in
     the arrays of the other shards.
@@ -133,31 +156,38 @@ def _judge(shards: list[list[tuple]], size: int) -> Iterator[tuple]:
     for rows in shards:
         offsets = np.cumsum([0, *(len(r[3]) for r in rows)])
         array = suffix_array(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), offsets)
+        # A region reaches into windows of the next anchor's; only its own count, so that no place counts twice.
+        own = np.zeros(int(offsets[-1]), dtype=bool)
+        own[np.concatenate([np.arange(o, o + r[2]) for o, r in zip(offsets[:-1], rows, strict=True)])] = True
         arrays.append(array)
-        owned.append(np.concatenate([np.arange(o, o + r[2]) for o, r in zip(offsets[:-1], rows, strict=True)]))
-        found.append(repeated_within(array, size))
+        owned.append(own)
+        found.append([repeated_within(array, size, own) for size in sizes])
+    if len(arrays) > 1:
+        others = [only(array, own) for array, own in zip(arrays, owned, strict=True)]
     for i in range(len(arrays)):
         for j in range(len(arrays)):
             if i != j:
-                open_ = owned[i][~found[i][owned[i]]]
-                found[i][open_[repeated_across(arrays[i], arrays[j], open_, size)]] = True
+                for flags, size in zip(found[i], sizes, strict=True):
+                    open_ = np.flatnonzero(owned[i] & ~flags & (arrays[i].left >= size))
+                    flags[open_[repeated_across(arrays[i], others[j], open_, size)]] = True
     for rows, flags in zip(shards, found, strict=True):
         at = 0
         for anchor, region, n, piece in rows:
-            spans = _runs_of(flags[at : at + n])
+            spans = [_runs_of(f[at : at + n]) for f in flags]
             at += len(piece)
-            if spans:
-                yield anchor, region, spans
+            if any(spans):
+                yield anchor, region, *spans
 
 
-def _judge_shards(size: int):
+def _judge_shards(sizes: tuple[int, ...]):
     """From (anchor, region, n, bytes) rows sorted by anchor: the repeated windows of each region."""
 
     def packed(found) -> Iterator[pa.RecordBatch]:
         rows = list(found)
         if rows:
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), _SPANS))]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "region", "spans"])
+            kinds = (pa.int64(), pa.int64(), *[_SPANS] * len(sizes))
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "region", *(f"spans_{i}" for i in range(len(sizes)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: list[list[tuple]] = [[]]  # of the unit under way; several only for one anchor
@@ -185,10 +215,10 @@ def _judge_shards(size: int):
             if unit and (row is None or row[0] != unit[0][0]):
                 weight = sum(len(r[3]) for r in unit)
                 if weight > SHARD_BYTES:
-                    yield from packed(_judge(close(unit), size))
+                    yield from packed(_judge(close(unit), sizes))
                 else:
                     if filled + weight > SHARD_BYTES:
-                        yield from packed(_judge(shards, size))
+                        yield from packed(_judge(shards, sizes))
                         shards, filled = [[]], 0
                     shards[0] += unit
                     filled += weight
@@ -196,92 +226,122 @@ def _judge_shards(size: int):
             if row is not None:
                 unit.append(row)
         if shards[0]:
-            yield from packed(_judge(shards, size))
+            yield from packed(_judge(shards, sizes))
 
     return run
 
 
-def _remove(size: int):
+def _covered(lists, size: int) -> list[tuple[int, int]]:
+    """The bytes that windows of that size cover, as maximal runs."""
+    spans: list[list[int]] = []
+    for a, b in sorted((x["a"], x["b"] - 1 + size) for part in lists or () for x in part):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
+    return [(a, b) for a, b in spans]
+
+
+def _remove(sizes: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_bytes, removed, kept = [], [], []
-            texts, lists = batch.column(0), batch.column(1)
+            n_bytes, removed, echoes, kept = [], [], [], []
+            texts, found = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
                 raw = (texts[i].as_py() or "").encode()
-                spans: list[list[int]] = []
-                for a, b in sorted((x["a"], x["b"] - 1 + size) for part in lists[i].as_py() or () for x in part):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], b)
-                    else:
-                        spans.append([a, b])
+                lists = found[i].as_py() or {}
+                spans, *others = (_covered(lists.get(f"spans_{j}"), size) for j, size in enumerate(sizes))
                 edges = [0, *(x for span in spans for x in span), len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 n_bytes.append(len(raw))
                 removed.append([{"a": a, "b": b} for a, b in spans])
-            columns = [batch.column(2), pa.array(n_bytes, pa.int64()), pa.array(removed, _SPANS), pa.array(kept, pa.binary())]
+                echoes.append([{"a": a, "b": b} for a, b in (others[0] if others else spans)])
+            columns = [batch.column(2), pa.array(n_bytes, pa.int64()), pa.array(removed, _SPANS), pa.array(echoes, _SPANS), pa.array(kept, pa.binary())]
             columns.append(pa.array([hashlib.sha256(k).hexdigest() for k in kept]))
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "n_bytes", "removed", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n_bytes", "removed", "echoes", "kept", "kept_sha256"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """For each row of docs: `row` (a struct of the columns to keep), n_bytes, removed, kept and kept_sha256.
+def remove_repeats(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ("doc_id",), echo: int | None = None) -> DataFrame:
+    """For each row of docs: `row` (a struct of the columns to keep), n_bytes, removed, echoes, kept and kept_sha256.
 
-    removed holds the maximal removed runs of bytes, kept the other bytes, which need not be whole characters.
+    removed holds the maximal removed runs of bytes, kept the other bytes, which need not be whole characters; echoes
+    holds the runs that strings of echo bytes cover which start elsewhere too (echo: at most size; without it, as removed).
     Defined results: a null text is empty; a text shorter than size keeps everything; rows that repeat doc_id and
     text each lose what a string of size bytes covers, as it stands in the other row; ids may be null; an empty
     table gives an empty result.
     """
     spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
+    sizes = (size,) if echo is None else (size, echo)
+    least, names = min(sizes), [f"spans_{i}" for i in range(len(sizes))]
+    text = text_or_empty("text")
     texts = docs.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
-    long_ = texts.where(F.octet_length("text") >= size)
+    long_ = texts.where(F.octet_length("text") >= least)
     # Columns that are never null get no filters of their own in some of the uses, so the shuffles stay alike.
-    schema = T.StructType([T.StructField(c, T.LongType(), c == "doc_id") for c in ("doc_id", "text_hash", "first", "n", "anchor", "region")])
-    runs = long_.mapInArrow(_find_runs(size), schema)
-    often = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("often"))
-    # Used again below with the same columns, so that Spark shuffles the runs, and the texts, once.
-    shared = runs.join(often, F.col("anchor") == F.col("often"), "left_semi")
+    kinds = {"doc_id": T.LongType(), "firsts": T.ArrayType(T.LongType(), False)}
+    schema = T.StructType([T.StructField(c, kinds.get(c, T.LongType()), c == "doc_id") for c in RUN])
+    runs = long_.mapInArrow(_find_runs(least, size), schema).withColumn("salt", F.pmod("text_hash", F.lit(SALTS)).cast("int"))
+    # Counted in the map tasks first, so a common anchor is no burden; it is mixed if its regions are not all equal.
+    often = runs.groupBy("anchor").agg(F.sum(F.size("firsts")).alias("c"), (F.min("region") != F.max("region")).alias("mixed")).where("c > 1")
+    dealt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt")
+    often = often.select(F.col("anchor").alias("often"), "mixed", (F.col("c") > MAX_REGIONS).alias("many"), dealt)
+    shared = runs.join(often, (F.col("anchor") == F.col("often")) & (F.col("salt") == F.col("of_salt"))).drop("often", "of_salt", "salt")
     regions = shared.groupBy("anchor", "region").agg(
-        F.count("*").alias("c"), F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("at")
+        F.sum(F.size("firsts")).alias("c"),
+        F.min(F.struct("doc_id", "text_hash", F.col("firsts")[0].alias("first"), "n", "length")).alias("at"),
+        F.max("mixed").alias("mixed"),
+        F.max("many").alias("many"),
     )
-    kinds = regions.groupBy(F.col("anchor").alias("of")).agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed_ = regions.join(kinds, F.col("anchor") == F.col("of"))
-    wanted = mixed_.groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.text_hash").alias("w_hash")).agg(
-        F.collect_list(F.struct("at.first", "at.n", "anchor", "region", (F.col("kinds") > MAX_REGIONS).alias("hot"))).alias("parts")
+    regions = checkpointed(regions)
+    # At most one such anchor for each MAX_REGIONS regions.
+    hot = regions.where("mixed and many").groupBy(F.col("anchor").alias("hot")).agg(F.count("*").alias("kinds")).where(F.col("kinds") > MAX_REGIONS)
+    hot = broadcast_if_small(hot.select("hot"), MAX_BROADCAST_ANCHORS)
+    wanted = regions.where("mixed").join(hot, F.col("anchor") == F.col("hot"), "left").groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.text_hash").alias("w_hash")).agg(
+        F.collect_list(F.struct("at.first", "at.n", "at.length", "anchor", "region", F.col("hot").isNotNull().alias("hot"))).alias("parts")
     )
     # Rows that repeat doc_id and text hold the same region; one of them is enough.
     held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))).select("text", "parts")
-    cut = held.mapInArrow(_cut_regions(size), "anchor long, region long, n long, bytes binary, windows array<struct<h1:long,h2:long>>")
+    cut = held.mapInArrow(_cut_regions(sizes), "anchor long, region long, n long, bytes binary, windows array<struct<level:int,place:long,h1:long,h2:long>>")
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cold = cut.where("bytes is not null").select("anchor", "region", "n", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "region")
-    by_array = cold.mapInArrow(_judge_shards(size), T.StructType([T.StructField("anchor", T.LongType()), T.StructField("region", T.LongType()), T.StructField("spans", SPANS)]))
-    rows = cut.where("windows is not null").select("anchor", "region", F.posexplode("windows").alias("place", "w")).select("anchor", "region", "place", "w.*")
-    twice = rows.distinct().groupBy(F.col("h1").alias("t1"), F.col("h2").alias("t2")).agg(F.count("*").alias("c")).where("c > 1")
-    by_hash = rows.join(twice, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2"))).groupBy("anchor", "region").agg(
-        F.collect_set(F.struct(F.col("place").cast("long").alias("a"), (F.col("place") + 1).cast("long").alias("b"))).alias("spans")
+    judgement = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("region", T.LongType()), *[T.StructField(c, SPANS) for c in names]])
+    by_array = cold.mapInArrow(_judge_shards(sizes), judgement)
+    rows = cut.where("windows is not null").select("anchor", "region", F.explode("windows").alias("w")).select("anchor", "region", "w.*")
+    twice = rows.distinct().groupBy(*[F.col(c).alias(f"t_{c}") for c in ("level", "h1", "h2")]).agg(F.count("*").alias("t")).where("t > 1")
+    of = lambda i: F.collect_set(F.when(F.col("level") == i, F.struct(F.col("place").alias("a"), (F.col("place") + 1).alias("b")))).alias(names[i])
+    by_hash = rows.join(twice, (F.col("h1") == F.col("t_h1")) & (F.col("h2") == F.col("t_h2")) & (F.col("level") == F.col("t_level"))).groupBy("anchor", "region").agg(
+        *[of(i) for i in range(len(sizes))]
     )
-    whole = regions.where("c > 1").select("anchor", "region", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("at.n").alias("b"))).alias("spans"))
-    judged = whole.unionByName(by_array).unionByName(by_hash).select(F.col("anchor").alias("j_anchor"), F.col("region").alias("j_region"), "spans")
+    # Of a region that stands twice, every window is repeated whose end lies within it.
+    windows = lambda s: F.least(F.col("at.n"), F.col("at.length") - (s - 1))
+    span = lambda s: F.filter(F.array(F.struct(F.lit(0).cast("long").alias("a"), windows(s).alias("b"))), lambda x: x["b"] > 0)
+    whole = regions.where("c > 1").select("anchor", "region", *[span(s).alias(c) for c, s in zip(names, sizes, strict=True)])
+    judged = whole.unionByName(by_array).unionByName(by_hash).select(F.col("anchor").alias("j_anchor"), F.col("region").alias("j_region"), *names)
+
+    def placed_at(spans):
+        moved = lambda f: F.transform(spans, lambda s: F.struct((s["a"] + f).alias("a"), (F.least(s["b"], F.col("n")) + f).alias("b")))
+        return F.flatten(F.transform("firsts", moved)).alias(spans)
+
     placed = shared.join(judged, (F.col("anchor") == F.col("j_anchor")) & (F.col("region") == F.col("j_region"))).select(
-        "doc_id",
-        "text_hash",
-        F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (F.least(s["b"], F.col("n")) + F.col("first")).alias("b"))).alias("spans"),
+        "doc_id", "text_hash", *[placed_at(c) for c in names]
     )
-    gone = placed.groupBy(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).agg(F.collect_set("spans").alias("spans"))
-    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    gone = placed.groupBy(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).agg(F.struct(*[F.collect_set(c).alias(c) for c in names]).alias("spans"))
+    row = row_struct(docs, list(keep))
     if tuple(keep) == ("doc_id",):
         packed = texts.select("text", "doc_id", "text_hash")
     else:
         packed = docs.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), row)
     joined = packed.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")), "left")
     joined = joined.select("text", "spans", row if "row" not in joined.columns else F.col("row"))
-    out = T.StructType([joined.schema["row"], T.StructField("n_bytes", T.LongType()), T.StructField("removed", SPANS), T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
-    return joined.mapInArrow(_remove(size), out)
+    out = T.StructType([joined.schema["row"], T.StructField("n_bytes", T.LongType()), *[T.StructField(c, SPANS) for c in ("removed", "echoes")], T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
+    return joined.mapInArrow(_remove(sizes), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents"))
-    length = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["b"] - x["a"])
-    return found.select("row.doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+    """op1 over all documents, at 400 bytes; n_echo is the bytes in strings of ECHO bytes that start elsewhere too, removed or not."""
+    found = remove_repeats(table(spark, sf_dir, "documents"), echo=ECHO)
+    length = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["b"] - x["a"])
+    return found.select(
+        "row.doc_id", "n_bytes", length("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256", length("echoes").alias("n_echo")
+    )

@@ -122,15 +122,20 @@ def _extend(heads_a, left_a, a, heads_b, left_b, b, limit: int | None = None) ->
     return np.minimum(out, most)
 
 
-def repeated_within(array: SuffixArray, size: int) -> np.ndarray:
-    """Of each position, whether its first size bytes begin elsewhere in the same array too."""
-    long_ = array.common >= size
+def repeated_within(array: SuffixArray, size: int, counted: np.ndarray | None = None) -> np.ndarray:
+    """Of each position, whether its first size bytes begin elsewhere in the same array too; of the counted positions alone, if given."""
+    group = np.cumsum(array.common < size)
+    here = (array.left[array.order] >= size) if counted is None else counted[array.order] & (array.left[array.order] >= size)
     out = np.zeros(len(array.order), dtype=bool)
-    out[array.order[long_]] = True
-    out[array.order[np.flatnonzero(long_) - 1]] = True
+    out[array.order] = here & (np.bincount(group, weights=here, minlength=1 + (group[-1] if len(group) else 0))[group] > 1)
     return out
 
 
+def only(array: SuffixArray, counted: np.ndarray) -> SuffixArray:
+    """The array to search in for the counted positions alone; its common prefixes are left out."""
+    return array._replace(order=array.order[counted[array.order]], common=np.zeros(0, dtype=np.int64))
+
+
 def repeated_across(one: SuffixArray, other: SuffixArray, positions: np.ndarray, size: int) -> np.ndarray:
     """For each of some positions of one, whether its first size bytes begin in other: a binary search in other's order."""
     low, high = np.zeros(len(positions), dtype=np.int64), np.full(len(positions), len(other.order), dtype=np.int64)
