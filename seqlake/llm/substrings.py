@@ -21,20 +21,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqlake.llm.bytescan import blocks, hash_ranges, mixed, prefix_sums
-from seqlake.llm.common import broadcast_if_small, checkpointed, row_struct, table, text_or_empty
+from seqlake.llm.common import row_struct, table, text_or_empty
 from seqlake.llm.suffixes import only, repeated_across, repeated_within, suffix_array
 
 SIZE = 400
-#: Bytes of a passage that the query reports where it stands elsewhere too, though it is too short to be removed: about 42 words of prose.
-ECHO = 256
+#: Bytes of a passage that the query reports where it stands elsewhere too, though it is too short to be removed: a little over 50 words of prose.
+ECHO = 320
 #: Parts into which the runs of one anchor are dealt before they are counted.
 SALTS = 8
 #: Bytes of text in one suffix array.
 SHARD_BYTES = 1 << 20
 #: Different regions of an anchor that go to suffix arrays; an anchor with more is judged by hashed windows.
 MAX_REGIONS = 4096
-#: Anchors with more regions that are broadcast (8 bytes each); beyond, they are joined by a shuffle.
-MAX_BROADCAST_ANCHORS = 100_000
 #: Bits of a position within a block of documents.
 PLACE_BITS = 32
 
@@ -46,7 +44,7 @@ _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 def gram_of(size: int) -> int:
     """Bytes of an anchor: long enough that chance and stock phrases seldom share one."""
-    return max(1, size // 4)
+    return max(1, size * 2 // 5)
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -293,11 +291,9 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ("
         F.max("mixed").alias("mixed"),
         F.max("many").alias("many"),
     )
-    regions = checkpointed(regions)
-    # At most one such anchor for each MAX_REGIONS regions.
+    # At most one such anchor for each MAX_REGIONS regions: a join that AQE broadcasts by the size that it measures.
     hot = regions.where("mixed and many").groupBy(F.col("anchor").alias("hot")).agg(F.count("*").alias("kinds")).where(F.col("kinds") > MAX_REGIONS)
-    hot = broadcast_if_small(hot.select("hot"), MAX_BROADCAST_ANCHORS)
-    wanted = regions.where("mixed").join(hot, F.col("anchor") == F.col("hot"), "left").groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.text_hash").alias("w_hash")).agg(
+    wanted = regions.where("mixed").join(hot.select("hot"), F.col("anchor") == F.col("hot"), "left").groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.text_hash").alias("w_hash")).agg(
         F.collect_list(F.struct("at.first", "at.n", "at.length", "anchor", "region", F.col("hot").isNotNull().alias("hot"))).alias("parts")
     )
     # Rows that repeat doc_id and text hold the same region; one of them is enough.
