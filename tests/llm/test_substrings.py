@@ -52,22 +52,6 @@ def test_against_brute_force(spark, seed, size):
     assert got(spark, rows, size) == expected(rows, size)
 
 
-def echoes(spark, rows, size, echo):
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = S.remove_repeats(docs, size, echo=echo).collect()
-    return sorted(((r.row.doc_id, [(x.a, x.b) for x in r.removed], [(x.a, x.b) for x in r.echoes]) for r in found), key=str)
-
-
-@pytest.mark.parametrize("regions", [4096, 1])
-def test_echoes_against_brute_force(spark, monkeypatch, regions):
-    """Both sizes in one pass are what each gives alone, by suffix arrays and, for hot anchors, by hashes."""
-    rows = corpus(4, 40)
-    monkeypatch.setattr(S, "MAX_REGIONS", regions)
-    monkeypatch.setattr(S, "SHARD_BYTES", 400)
-    want = zip(expected(rows, 40), expected(rows, 24), strict=True)
-    assert echoes(spark, rows, 40, 24) == sorted(((a[0], a[2], b[2]) for a, b in want), key=str)
-
-
 def test_many_shards_and_hot_anchors(spark, monkeypatch):
     rows = corpus(3, 40)
     monkeypatch.setattr(S, "SHARD_BYTES", 200)
