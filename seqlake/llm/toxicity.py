@@ -209,9 +209,9 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float, int]]:
     least = max(4, MIN_SUPPORT * toxic)
     strong = counted.where((F.col("t") >= least) & (ratio >= MIN_RATIO)).withColumn("weight", F.log(ratio)).orderBy("term").collect()
     learned = [(r["term"].rstrip("*"), not r["term"].endswith("*"), float(r["weight"]), THREAT if 2 * r["meant"] >= r["n"] else INSULT) for r in strong]
-    harm = F.array(*[F.lit(w) for w in sorted({w for w, whole, *_ in learned if whole} | set(f"{LEXICON[INSULT]} {LEXICON[THREAT]}".split()))])
+    harm = sorted({w for w, whole, *_ in learned if whole} | set(f"{LEXICON[INSULT]} {LEXICON[THREAT]}".split()))
     both = F.explode(F.arrays_zip(F.col("found").alias("before"), F.slice("found", 2, F.size("found")).alias("word"))).alias("pair")
-    pairs = texts.where("label = 1 and size(found) > 1").select(both).select("pair.before", F.array_contains(harm, F.col("pair.word")).cast("int").alias("hit"))
+    pairs = texts.where("label = 1 and size(found) > 1").select(both).select("pair.before", F.col("pair.word").isin(harm).cast("int").alias("hit"))
     near = pairs.groupBy("before").agg(F.sum("hit").alias("hit"), F.count("*").alias("n"))
     all_ = near.agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).first()
     rate = (all_["hit"] or 0) / (all_["n"] or 1)
