@@ -199,7 +199,10 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float, int]]:
     begin = F.transform(
         F.sequence(F.lit(low), F.lit(high)), lambda k: F.when(F.length("word") > k, F.concat(F.substring("word", F.lit(1), k), F.lit("*")))
     )
-    uses = texts.select("id", "label", F.explode(_uses(F.col("found"))).alias("use")).select("id", "label", "use.*")
+    before = F.concat(F.array(F.lit("")), "found")  # one longer, which leaves a pair without a word
+    placed = texts.select("id", "label", F.explode(F.arrays_zip(before.alias("before"), F.col("found").alias("word"))).alias("pair"))
+    meant = F.max(F.col("pair.before").isin(sorted(set(INTENT.split()))).cast("int"))
+    uses = placed.where("pair.word is not null").groupBy("id", "label", F.col("pair.word").alias("word")).agg(F.lit(1).alias("n"), meant.alias("meant"))
     terms = uses.select("id", "label", "n", "meant", F.explode(F.concat(F.array("word"), begin)).alias("term")).where("term is not null")
     each = terms.groupBy("id", "label", "term").agg(F.sum("n").alias("n"), F.sum("meant").alias("meant"))
     counted = each.groupBy("term").agg(
@@ -220,17 +223,6 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float, int]]:
     return learned + [(r["before"], True, 0.0, TARGET) for r in aimed if r["before"] not in known]
 
 
-def _uses(found):
-    """Each different word of an array with its number of places (n) and of those after a word of INTENT (meant)."""
-    intent = F.array(*[F.lit(w) for w in sorted(set(INTENT.split()))])
-    before = F.concat(F.array(F.lit("")), found)
-    meant = F.filter(F.zip_with(found, before, lambda w, b: F.when(F.array_contains(intent, b), w)), lambda w: w.isNotNull())
-    return F.transform(
-        F.array_distinct(found),
-        lambda w: F.struct(w.alias("word"), F.lit(1).alias("n"), F.array_contains(meant, w).cast("int").alias("meant")),
-    )
-
-
 def _features(grammar, text_at: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
