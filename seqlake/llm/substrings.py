@@ -4,7 +4,8 @@ The strings to judge are all windows of `size` bytes. To bring equal windows tog
 shards with all, each window is owned by the smallest hash of the grams inside it (a winnowing anchor): equal
 windows have the same anchor at the same place, so a shard that holds all regions around an anchor holds all
 occurrences of the windows that it owns. Regions whose anchor is unique repeat nothing; equal regions are
-counted as one. The different regions of an anchor go to shards of bounded size, whose suffix arrays and common
+counted as one. Runs of windows are dealt by their anchor, and those of a very common anchor by parts of its
+regions too. The different regions of an anchor go to shards of bounded size, whose suffix arrays and common
 prefixes tell the repeated windows; an anchor that fills several shards is searched across them. An anchor
 with more regions than a few shards hold is judged by hashes of its windows, one row each.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqlake.llm.bytescan import blocks, hash_ranges, mixed, prefix_sums
-from seqlake.llm.common import table
+from seqlake.llm.common import checkpointed, table
 from seqlake.llm.suffixes import repeated_across, repeated_within, suffix_array
 
 SIZE = 400
@@ -29,6 +30,9 @@ SIZE = 400
 SHARD_BYTES = 1 << 20
 #: Different regions of an anchor that go to suffix arrays; an anchor with more is judged by hashed windows.
 MAX_REGIONS = 4096
+#: Runs are dealt in parts of one in this many of all runs of shared anchors: a larger anchor is dealt to several, by its
+#: regions. So at most this many anchors are broadcast, with the number of their parts (about 1 MB).
+ANCHOR_PARTS = 1 << 16
 #: Bits of a position within a block of documents.
 PLACE_BITS = 32
 
@@ -240,14 +244,29 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ("
     # Columns that are never null get no filters of their own in some of the uses, so the shuffles stay alike.
     schema = T.StructType([T.StructField(c, T.LongType(), c == "doc_id") for c in ("doc_id", "text_hash", "first", "n", "anchor", "region")])
     runs = long_.mapInArrow(_find_runs(size), schema)
-    often = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(F.col("anchor").alias("often"))
+    counts = checkpointed(runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"))
+    unit = (counts.agg(F.sum("c")).first()[0] or 0) // ANCHOR_PARTS + 1
+    n_parts = F.ceil(F.col("c") / unit).cast("int")
+    hot = F.broadcast(counts.where(F.col("c") > unit).select(F.col("anchor").alias("hot"), n_parts.alias("hot_parts")))
+
+    def dealt(df: DataFrame, anchor: str) -> DataFrame:
+        """df with the parts of each row's anchor."""
+        found = df.join(hot, F.col(anchor) == F.col("hot"), "left")
+        return found.withColumn("parts", F.coalesce("hot_parts", F.lit(1))).drop("hot", "hot_parts")
+
+    part = F.coalesce(F.pmod("region", "parts"), F.lit(0).cast("long")).alias("part")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
+    often = counts.select(F.col("anchor").alias("often"), n_parts.alias("parts")).select("often", every.alias("often_part"))
     # Used again below with the same columns, so that Spark shuffles the runs, and the texts, once.
-    shared = runs.join(often, F.col("anchor") == F.col("often"), "left_semi")
-    regions = shared.groupBy("anchor", "region").agg(
+    shared = dealt(runs, "anchor").select(*runs.columns, part).join(
+        often, (F.col("anchor") == F.col("often")) & (F.col("part") == F.col("often_part")), "left_semi"
+    )
+    regions = shared.groupBy("anchor", "part", "region").agg(
         F.count("*").alias("c"), F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("at")
     )
     kinds = regions.groupBy(F.col("anchor").alias("of")).agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed_ = regions.join(kinds, F.col("anchor") == F.col("of"))
+    kinds = dealt(kinds, "of").select("of", "kinds", every.alias("of_part"))
+    mixed_ = regions.join(kinds, (F.col("anchor") == F.col("of")) & (F.col("part") == F.col("of_part")))
     wanted = mixed_.groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.text_hash").alias("w_hash")).agg(
         F.collect_list(F.struct("at.first", "at.n", "anchor", "region", (F.col("kinds") > MAX_REGIONS).alias("hot"))).alias("parts")
     )
@@ -263,8 +282,11 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, keep: tuple[str, ...] = ("
         F.collect_set(F.struct(F.col("place").cast("long").alias("a"), (F.col("place") + 1).cast("long").alias("b"))).alias("spans")
     )
     whole = regions.where("c > 1").select("anchor", "region", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("at.n").alias("b"))).alias("spans"))
-    judged = whole.unionByName(by_array).unionByName(by_hash).select(F.col("anchor").alias("j_anchor"), F.col("region").alias("j_region"), "spans")
-    placed = shared.join(judged, (F.col("anchor") == F.col("j_anchor")) & (F.col("region") == F.col("j_region"))).select(
+    judged = dealt(whole.unionByName(by_array).unionByName(by_hash), "anchor").select(
+        F.col("anchor").alias("j_anchor"), part.alias("j_part"), F.col("region").alias("j_region"), "spans"
+    )
+    same = (F.col("anchor") == F.col("j_anchor")) & (F.col("part") == F.col("j_part")) & (F.col("region") == F.col("j_region"))
+    placed = shared.join(judged, same).select(
         "doc_id",
         "text_hash",
         F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (F.least(s["b"], F.col("n")) + F.col("first")).alias("b"))).alias("spans"),
