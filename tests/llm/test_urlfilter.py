@@ -59,3 +59,12 @@ def test_automaton_against_regular_expressions(seed):
     offsets = np.cumsum([0, *map(len, subjects)])
     found = U.ShiftAnd(patterns).run(np.frombuffer("".join(subjects).encode(), np.uint8), offsets)
     assert found.tolist() == [[bool(r.fullmatch(s)) for r in regex] for s in subjects]
+
+
+def test_words_of_the_contract(spark, monkeypatch):
+    """The words of the rules as the contract lists them, each seen in the verdict of a URL."""
+    expected = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+    urls = ["http://a.com/en/1", "http://example.com/en/77", "http://casino.net/de/7", "http://example.net/de/8", "http://x.org/es/"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    monkeypatch.setattr(U, "table", lambda *a: pages)
+    assert [(r.rule, r.verdict) for r in U.query(spark, "").orderBy("page_id").collect()] == expected
