@@ -117,3 +117,16 @@ def test_components(spark):
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     nodes = sorted({x for pair in links if pair[0] != pair[1] for x in pair})
     assert found == {k: v for k, v in brute.components(nodes, [x for x in links if x[0] != x[1]]).items()}
+
+
+def test_frequent_grams_are_counted_over_all_documents(spark, monkeypatch):
+    """More documents than any sample: each word is held by four, and one by eight more."""
+    texts = spark.range(30_000).selectExpr("id AS doc_id", "concat('w', id DIV 4) AS text")
+    texts = texts.union(spark.range(8).selectExpr("id + 30000", "'w7'"))
+    grams, held = N._frequent(texts, 4, 85)
+    assert len(grams) == 7500 and sorted(held.tolist()) == [4] * 7499 + [12] and np.all(grams[:-1] < grams[1:])
+    # No more than fit: the one that most documents hold, and of the others all or none.
+    monkeypatch.setattr(N, "MAX_FREQUENT", 7499)
+    assert N._frequent(texts, 4, 85)[1].tolist() == [12]
+    monkeypatch.setattr(N, "MAX_FREQUENT", 0)
+    assert [len(x) for x in N._frequent(texts, 4, 85)] == [0, 0]
