@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqlake.llm import substrings as S
@@ -60,6 +61,30 @@ def test_many_shards_and_hot_anchors(spark, monkeypatch):
     assert got(spark, rows, 40) == expected(rows, 40)
 
 
+def round_and_round():
+    """Texts that repeat a line over and over, some cut or broken, and copies of them."""
+    line = "the same line 0123456789 once more\n"
+    rows = [(i, f"{i} " * (i % 3) + line * (2 + 3 * i)) for i in range(12)]
+    rows += [(20, line * 9 + "!" + line * 9), (21, "q" * 300), (22, "q" * 55 + "r" + "q" * 300), (23, "ab" * 100)]
+    return [*rows, rows[5], (30, rows[7][1]), (None, rows[9][1])]
+
+
+def test_texts_that_go_round(spark, monkeypatch):
+    rows = round_and_round()
+    assert got(spark, rows, 40) == expected(rows, 40)
+    monkeypatch.setattr(S, "MAX_REGIONS", 1)
+    assert got(spark, rows, 40) == expected(rows, 40)
+
+
+def test_one_row_for_a_region_of_a_document():
+    texts = ["the same line 0123456789 once more\n" * 50, "q" * 3000, "ab" * 700, "no".join(map(str, range(400)))]
+    columns = [pa.array(texts), pa.array(range(4)), pa.array(range(4))]
+    rows = [r for b in S._find_runs(40)([pa.RecordBatch.from_arrays(columns, names=["text", "doc_id", "text_hash"])]) for r in b.to_pylist()]
+    keys = [(r["doc_id"], r["anchor"], r["region"]) for r in rows]
+    assert len(set(keys)) == len(keys)
+    assert {k[0] for k in keys} == {0, 1, 2, 3}
+
+
 def test_empty_table(spark):
     assert got(spark, [], 40) == []
 
