@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from seqlake.llm import substrings as S
+from seqlake.llm.bytescan import hash_ranges, hash_runs, prefix_sums
 from seqlake.llm.suffixes import repeated_across, repeated_within, suffix_array
 from tests.llm import brute
 
@@ -110,3 +111,44 @@ def test_suffix_arrays(seed):
     places = np.flatnonzero(array.left >= 3)
     inside = {b"\0\1\1", b"\1\1\2", b"\1\2\0", b"\2\0\1", b"\0\0\2", b"\0\2\1"}
     assert repeated_across(array, other, places, 3).tolist() == [starts[p] in inside for p in places]
+
+
+def test_texts_are_scanned_for_runs_twice(spark):
+    """Once to count anchors, in a job of its own, and once for all other uses, which share a shuffle where the tables are
+    too large to be broadcast."""
+    docs = spark.createDataFrame([(i, t, "r", 1, "a") for i, t in corpus(4, 40)], SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = S.remove_repeats(docs, 40)
+        found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    last = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert last.count("MapInArrow") == 4  # runs, regions cut, arrays, removal
+
+
+def test_small_scans_and_arrays(spark, monkeypatch):
+    rows = corpus(5, 40)
+    monkeypatch.setattr(S, "SCAN_BYTES", 50)
+    monkeypatch.setattr(S, "PACK_BYTES", 300)
+    assert got(spark, rows, 40) == expected(rows, 40)
+
+
+def test_a_hash_of_each_run():
+    data = np.frombuffer("runs of bytes, some of them runs of bytes é".encode(), np.uint8)
+    start = np.arange(len(data) - 6)
+    sums = prefix_sums(data, 1)
+    assert hash_runs(sums, 7).tolist() == hash_ranges(sums, start, start + 7).tolist()
+
+
+def test_suffix_arrays_of_long_repeats():
+    """Many rounds of refinement: one byte over and over, periods, and copies."""
+    strings = [b"a" * 700, b"ab" * 300, b"a" * 699 + b"b", b"a" * 700, b"", b"\0" * 50]
+    data, offsets = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
+    array = suffix_array(data, offsets)
+    suffix = lambda p: data[p : p + array.left[p]].tobytes()
+    keys = [(suffix(p), p) for p in array.order]
+    assert keys == sorted(keys)
+    common = [next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for (a, _), (b, _) in zip(keys, keys[1:], strict=False)]
+    assert array.common.tolist() == [0, *common]
